@@ -28,11 +28,14 @@ def with_statistics(docs: DataFrame, *, text_col: str = "text", window: int = 8)
     n log n in a text's words, with no quadratic step, and no shuffle.
     """
     base = docs.drop(*[c for c in docs.columns if c.lower() in STATISTICS])
-    w, h, s, p, t = (fresh(c, base) for c in ("_words", "_windows", "_sorted", "_starts", "_text"))
+    w, v, h, s, p, t = (fresh(c, base) for c in ("_words", "_hashes", "_windows", "_sorted", "_starts", "_text"))
     out = base.withColumn(t, F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     out = out.withColumn(w, split_words(F.col(t)))
     n = F.size(w)
-    out = out.withColumn(h, F.when(n >= window, F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, window)))))
+    # A slice would copy the whole array for each word; reading single elements doesn't.
+    out = out.withColumn(v, F.transform(w, lambda x: F.xxhash64(x)))
+    places = F.sequence(F.lit(0), n - window)
+    out = out.withColumn(h, F.when(n >= window, F.transform(places, lambda i: F.xxhash64(*[F.get(v, i + k) for k in range(window)]))))
     # Only texts in which a window comes back are sorted: by hash, then place.
     again = F.size(F.array_distinct(h)) < F.size(h)
     out = out.withColumn(s, F.when(again, F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
@@ -57,7 +60,11 @@ def with_statistics(docs: DataFrame, *, text_col: str = "text", window: int = 8)
         "n_upper": size - F.char_length(F.regexp_replace(t, r"[A-Z]+", "")),
         "n_distinct_words": F.size(F.array_distinct(w)),
     }
-    return out.select(*[F.col(f"`{c}`") for c in base.columns], *[c.cast("long").alias(k) for k, c in stats.items()])
+    # Catalyst copies a filter on these columns below their expressions, once for each use of
+    # each; it leaves a filter on what a generator gives where it stands.
+    st = fresh("_stats", base)
+    out = out.select(*[F.col(f"`{c}`") for c in base.columns], F.explode(F.array(F.struct(*[c.cast("long").alias(k) for k, c in stats.items()]))).alias(st))
+    return out.select(*[F.col(f"`{c}`") for c in base.columns], *[F.col(st)[k].alias(k) for k in stats])
 
 
 def features() -> dict[str, Column]:
