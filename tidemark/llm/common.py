@@ -50,6 +50,18 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def settle(df: DataFrame, **cols: Column) -> DataFrame:
+    """``df`` with the columns ``cols``, each computed once a row.
+
+    Catalyst copies an expression below every filter and into every projection that names
+    it. It leaves what a generator gives alone, so here one generator gives all.
+    """
+    at = fresh("_settled", df)
+    base = df.drop(*cols)
+    out = df.select(*[F.col(f"`{c}`") for c in base.columns], F.explode(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))).alias(at))
+    return out.select(*[F.col(f"`{c}`") for c in base.columns], *[F.col(at)[k].alias(k) for k in cols])
+
+
 def lower_ascii(text: Column) -> Column:
     """Only A-Z lower-cased; every other code point stays."""
     return F.translate(text, UPPER, LOWER)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, split_words
+from .common import fresh, settle, split_words
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_distinct_words")
 
@@ -60,11 +60,7 @@ def with_statistics(docs: DataFrame, *, text_col: str = "text", window: int = 8)
         "n_upper": size - F.char_length(F.regexp_replace(t, r"[A-Z]+", "")),
         "n_distinct_words": F.size(F.array_distinct(w)),
     }
-    # Catalyst copies a filter on these columns below their expressions, once for each use of
-    # each; it leaves a filter on what a generator gives where it stands.
-    st = fresh("_stats", base)
-    out = out.select(*[F.col(f"`{c}`") for c in base.columns], F.explode(F.array(F.struct(*[c.cast("long").alias(k) for k, c in stats.items()]))).alias(st))
-    return out.select(*[F.col(f"`{c}`") for c in base.columns], *[F.col(st)[k].alias(k) for k in stats])
+    return settle(out, **{k: c.cast("long") for k, c in stats.items()}).drop(w, v, h, s, p, t)
 
 
 def features() -> dict[str, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules
+from . import license_scan, line_dedup, quality_rules, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "licenses", "n_matches", "best_dice")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -26,13 +34,64 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_license_scan": op4_license_scan,
+    "op5_url_filter": op5_url_filter,
     "op8_line_dedup": op8_line_dedup,
 }
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_TEMPLATES = ", ".join("({}, [{}])".format(f"'{k}'", ", ".join(f"'{g}'" for g in license_scan.template_bigrams(v))) for k, v in sorted(license_scan.TEMPLATES.items()))
+_RULE_CASES = " ".join(
+    f"WHEN (h = '{r.partition('/')[0]}' OR suffix(h, '.{r.partition('/')[0]}')) AND prefix(p, '/{r.partition('/')[2]}') THEN '{r}'"
+    for _, r in sorted(url_filter.RULES, key=lambda x: -len(x[1]))
+)
+_BLOCKED = ", ".join(f"'{r}'" for v, r in url_filter.RULES if v == "block")
+
 ORACLE_SQL = {
+    "op4_license_scan": rf"""
+WITH u AS (
+  SELECT doc_id, unnest(string_split(text, chr(10)) || CASE WHEN contains(text, chr(10)) THEN [text] ELSE [] END) AS unit
+  FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, string_split(trim(regexp_replace(translate(unit, {_AZ}), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM u),
+g AS (SELECT doc_id, list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) AS gs FROM w WHERE len(ws) >= 2),
+t(name, ts) AS (VALUES {_TEMPLATES}),
+m AS (
+  SELECT doc_id, name, round(2.0 * len(list_intersect(gs, ts)) / (len(gs) + len(ts)), 6) AS dice
+  FROM g JOIN t ON len(gs) BETWEEN len(ts) * 0.6 AND len(ts) * 1.6 AND list_has_any(gs, ts)),
+h AS (
+  SELECT doc_id, string_agg(DISTINCT name, '; ' ORDER BY name) AS licenses, count(*) AS n_matches, max(dice) AS best_dice
+  FROM m WHERE dice >= 0.8 GROUP BY doc_id)
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_matches, 0) AS n_matches, best_dice FROM documents LEFT JOIN h USING (doc_id)""",
+    "op5_url_filter": rf"""
+WITH RECURSIVE x AS (
+  SELECT page_id, url, html, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')) AS h,
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS p,
+         regexp_extract(url, '^.*?://[^/?#]*([^#]*)', 1, 's') AS rest FROM pages),
+k AS (SELECT *, CASE WHEN h <> '' THEN h || CASE WHEN prefix(rest, '/') THEN rest ELSE '/' || rest END END AS key FROM x),
+tags AS (SELECT url, key, unnest(regexp_extract_all(html, '<(?:link|meta)[^>]*>', 0, 'is')) AS tag FROM k WHERE regexp_matches(html, 'canonical|http-equiv', 'i')),
+links AS (
+  SELECT key AS a, url, replace(CASE
+    WHEN regexp_matches(tag, 'rel\s*=\s*["'']?[^"''>]*canonical', 'i') THEN regexp_extract(tag, 'href\s*=\s*["'']?([^"''\s>]+)', 1, 'i')
+    WHEN regexp_matches(tag, 'http-equiv\s*=\s*["'']?refresh', 'i') THEN regexp_extract(tag, 'url\s*=\s*["'']?([^"''\s>]+)', 1, 'i') END, '&amp;', '&') AS link FROM tags),
+abs AS (
+  SELECT a, CASE WHEN contains(link, '://') THEN link
+    WHEN prefix(link, '//') THEN regexp_extract(url, '^(.*?)://', 1, 's') || ':' || link
+    WHEN prefix(link, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || link
+    ELSE regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || coalesce(nullif(regexp_extract(url, '^.*?://[^/?#]*([^?#]*/)', 1, 's'), ''), '/') || link END AS t
+  FROM links WHERE link <> ''),
+e0 AS (
+  SELECT DISTINCT a, lower(regexp_extract(t, '^.*?://([^/?#]*)', 1, 's')) || CASE WHEN prefix(regexp_extract(t, '^.*?://[^/?#]*([^#]*)', 1, 's'), '/') THEN '' ELSE '/' END
+         || regexp_extract(t, '^.*?://[^/?#]*([^#]*)', 1, 's') AS b FROM abs WHERE a IS NOT NULL),
+e AS (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b),
+hp AS (SELECT DISTINCT a AS n, regexp_extract(a, '^([^/?#]*)', 1, 's') AS h, regexp_extract(a, '^[^/?#]*([^?#]*)', 1, 's') AS p FROM e),
+bad AS (SELECT n FROM hp WHERE CASE {_RULE_CASES} END IN ({_BLOCKED})),
+reach AS (SELECT n FROM bad UNION SELECT e.b FROM reach r JOIN e ON e.a = r.n)
+SELECT page_id, h AS host, p AS path, CASE {_RULE_CASES} END AS rule,
+       CASE WHEN CASE {_RULE_CASES} END IS NOT NULL THEN CASE WHEN CASE {_RULE_CASES} END IN ({_BLOCKED}) THEN 'block' ELSE 'allow' END
+            WHEN key IN (SELECT n FROM reach) THEN 'block' ELSE 'allow' END AS verdict
+FROM k""",
     "op8_line_dedup": rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM d),
