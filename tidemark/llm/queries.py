@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, quality_rules, url_filter
+from . import exact_dedup, license_scan, line_dedup, quality_rules, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -36,6 +41,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
+    "op7_exact_dedup": op7_exact_dedup,
     "op8_line_dedup": op8_line_dedup,
 }
 
@@ -92,6 +98,10 @@ SELECT page_id, h AS host, p AS path, CASE {_RULE_CASES} END AS rule,
        CASE WHEN CASE {_RULE_CASES} END IS NOT NULL THEN CASE WHEN CASE {_RULE_CASES} END IN ({_BLOCKED}) THEN 'block' ELSE 'allow' END
             WHEN key IN (SELECT n FROM reach) THEN 'block' ELSE 'allow' END AS verdict
 FROM k""",
+    "op7_exact_dedup": rf"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {_AZ}) AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
     "op8_line_dedup": rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM d),
