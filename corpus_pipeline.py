@@ -1,4 +1,56 @@
-STAGES = []
+"""A training-data pipeline over ``documents``: each stage works on what its predecessor kept."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import jaccard_join, langid, line_dedup, packing, quality_rules
+from tidemark.llm.common import materialise
+
+#: A language whose posterior probability is less than this isn't trusted.
+MIN_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is found; trained on the labelled rows of ``docs``."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    found = langid.identify(docs, langid.train(docs))
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select(*names)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that pass the base rules and no learned rule rejects."""
+    rules = quality_rules.learn(quality_rules.labelled_statistics(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality_rules.apply_rules(docs, rules).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops repeated lines from texts; every document stays and ``n_chars`` follows its text."""
+    out = line_dedup.drop_repeated_lines(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    return jaccard_join.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language ID", language_id), ("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("best-fit packing", pack)]
+
+#: Language ID, learned rules and packing aren't expressible in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; every stage's result is a written table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{k}")
+    return docs
