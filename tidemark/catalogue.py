@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import indicators as ind
@@ -226,3 +226,373 @@ def p11(spark, d):
 def p12(spark, d):
     x = ind.momentum(ind.sma(panels.event_day(spark, d), 3, "sma_3"), 2, "mom_2")
     return rounded(strategy.features_long(x, ["sma_3", "mom_2"]))
+
+
+# Runs -----------------------------------------------------------------------------------------
+
+
+def crossover_panel(spark, d, panel="ptype_month", fast=3, slow=8, qty=10.0):
+    x = ind.sma(ind.sma(PANELS[panel][0](spark, d), fast, "fast"), slow, "slow")
+    return x.withColumn("target", strategy.sma_crossover(F.col("fast"), F.col("slow"), qty))
+
+
+def crossover_sql(panel="ptype_month", fast=3, slow=8, qty=10.0) -> str:
+    return f"""{PANELS[panel][1]}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts_utc) AS rn FROM bars),
+tg AS (SELECT *, CASE WHEN rn >= {slow} AND avg(close) {_over(fast)} / avg(close) {_over(slow)} - 1 > 0 THEN {qty} ELSE 0.0 END AS target FROM n)"""
+
+
+def run_sql(by: str = "", bps: float = 5, fixed: float = 1, notional: float = 0, cash: float = CASH, opening: ledger.Opening | None = None, start: str = "") -> str:
+    """CTEs from ``tg`` (by, instrument_id, ts_utc, open, close, target) to events, fills and equity."""
+    part = f"PARTITION BY {by.rstrip(', ')}" if by else ""
+    held = opening.held() if opening else {}
+    first = "CASE instrument_id " + " ".join(f"WHEN '{k}' THEN {q}" for k, q in held.items()) + " ELSE 0 END" if held else "0"
+    opens = "".join(f" UNION ALL SELECT NULL, TIMESTAMP '{start}', 'CASHFLOW', '{k}', 'BUY', {q}::DOUBLE, {opening.cost_basis[k]}::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, {q}::DOUBLE" for k, q in held.items())
+    key = f"{by}instrument_id"
+    return f"""
+d AS (SELECT {key}, ts_utc AS decision_ts, target - coalesce(lag(target) OVER w, {first}) AS delta, lead(open) OVER w AS o, lead(ts_utc) OVER w AS ts_utc FROM tg WINDOW w AS (PARTITION BY {key} ORDER BY ts_utc)),
+f AS (SELECT {by}decision_ts, ts_utc, 'FILL' AS event_type, instrument_id, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, abs(delta) AS qty, round(o * (1 + sign(delta) * {bps} / 20000.0), 8) AS price,
+      {fixed}::DOUBLE + abs(delta) * o * (1 + sign(delta) * {bps} / 20000.0) * {notional} / 10000.0 AS fee, delta AS position_delta FROM d WHERE abs(delta) > 1.4901161193847656e-08 AND o > 0),
+ev0 AS (SELECT {by}decision_ts, ts_utc, event_type, instrument_id, side, qty, price, fee, -sign(position_delta) * qty * price - fee AS cash_delta, position_delta FROM f{opens}),
+ev AS (SELECT *, row_number() OVER ({part} ORDER BY decision_ts NULLS FIRST, instrument_id) AS event_seq FROM ev0),
+b4 AS (SELECT *, coalesce(sum(position_delta) OVER (PARTITION BY {key} ORDER BY event_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM ev),
+cq AS (SELECT *, CASE WHEN b * position_delta < -1e-18 THEN least(qty, abs(b)) ELSE 0 END AS cq FROM b4),
+lg0 AS (SELECT *, 'CLOSE' AS action, cq AS leg_qty, CASE WHEN side = 'BUY' THEN 'S' ELSE 'L' END AS book FROM cq WHERE cq > 1e-9
+        UNION ALL SELECT *, 'OPEN', qty - cq, CASE WHEN side = 'BUY' THEN 'L' ELSE 'S' END FROM cq WHERE qty - cq > 1e-9),
+lg AS (SELECT *, sum(leg_qty) OVER (PARTITION BY {key}, book, action ORDER BY event_seq) AS hi FROM lg0),
+mt AS (SELECT {', '.join('c.' + x.strip() for x in key.split(','))}, c.event_seq, c.ts_utc, c.book, least(c.hi, o.hi) - greatest(c.hi - c.leg_qty, o.hi - o.leg_qty) AS m, o.price AS op, c.price AS cp
+       FROM lg c JOIN lg o USING ({key}, book) WHERE c.action = 'CLOSE' AND o.action = 'OPEN' AND o.hi - o.leg_qty < c.hi AND o.hi > c.hi - c.leg_qty),
+mr AS (SELECT *, m * (cp - op) * CASE book WHEN 'L' THEN 1 ELSE -1 END AS r FROM mt WHERE m > 1e-9),
+ra AS (SELECT {key}, event_seq, sum(r) AS r FROM mr GROUP BY ALL),
+fl AS (SELECT {', '.join('lg.' + x.strip() for x in key.split(','))}, lg.event_seq, lg.ts_utc, side, leg_qty AS qty, price, fee, action, CASE WHEN action = 'CLOSE' THEN coalesce(r, 0) ELSE 0 END AS realized_pnl
+       FROM lg LEFT JOIN ra USING ({key}, event_seq) WHERE event_type = 'FILL'),
+mv AS (SELECT {key}, ts_utc, sum(c) AS c, sum(p) AS p, sum(f) AS f, sum(bs) AS bs, sum(r) AS r FROM (
+  SELECT {key}, ts_utc, cash_delta AS c, position_delta AS p, fee AS f, 0 AS bs, 0 AS r FROM ev
+  UNION ALL SELECT {key}, ts_utc, 0, 0, 0, leg_qty * price * CASE book WHEN 'L' THEN 1 ELSE -1 END, 0 FROM lg WHERE action = 'OPEN'
+  UNION ALL SELECT {key}, ts_utc, 0, 0, 0, -m * op * CASE book WHEN 'L' THEN 1 ELSE -1 END, r FROM mr) GROUP BY ALL),
+pp AS (SELECT {', '.join('tg.' + x.strip() for x in key.split(','))}, tg.ts_utc, close, coalesce(c, 0) AS c, coalesce(f, 0) AS f, coalesce(r, 0) AS r,
+       sum(coalesce(p, 0)) OVER (PARTITION BY {', '.join('tg.' + x.strip() for x in key.split(','))} ORDER BY tg.ts_utc) AS pos, sum(coalesce(bs, 0)) OVER (PARTITION BY {', '.join('tg.' + x.strip() for x in key.split(','))} ORDER BY tg.ts_utc) AS basis
+       FROM tg LEFT JOIN mv USING ({key}, ts_utc)),
+pt AS (SELECT {by}ts_utc, sum(c) AS c, sum(CASE WHEN abs(pos) > 1e-9 THEN pos * close ELSE 0 END) AS positions_value, sum(basis) AS basis, sum(r - f) AS r FROM pp GROUP BY ALL),
+eq AS (SELECT {by}ts_utc, {cash} + sum(c) OVER w AS cash, positions_value, {cash} + sum(c) OVER w + positions_value AS equity, sum(r) OVER w AS realized_pnl, positions_value - basis AS unrealized_pnl
+       FROM pt WINDOW w AS ({part} ORDER BY ts_utc)),
+rt AS (SELECT *, equity / nullif(lag(equity) OVER w, 0) - 1 AS period_return, equity / max(equity) OVER w - 1 AS drawdown, max(equity) OVER w AS running_max FROM eq WINDOW w AS ({part} ORDER BY ts_utc))"""
+
+
+def metrics_sql(by: str = "", context: metrics.MetricContext = MONTHLY) -> str:
+    n, rf = context.bars_per_year, context.rf_per_period
+    group = f"GROUP BY {by.rstrip(', ')}" if by else ""
+    on = f"LEFT JOIN tm USING ({by.rstrip(', ')})" if by else "CROSS JOIN tm"
+    return f"""
+em AS (SELECT {by}last(equity ORDER BY ts_utc) / first(equity ORDER BY ts_utc) - 1 AS tr, count(*) AS n, stddev_samp(period_return) AS sd, avg(period_return - {rf!r}) AS mx, stddev_samp(period_return - {rf!r}) AS sx, min(drawdown) AS dd, avg(CASE WHEN abs(positions_value) > 1e-6 THEN 1.0 ELSE 0 END) AS tim FROM rt {group}),
+tm AS (SELECT {by}count(*) AS nt, avg(CASE WHEN realized_pnl > 0 THEN 1.0 ELSE 0 END) AS wr, avg(realized_pnl) AS av FROM fl WHERE action = 'CLOSE' {group}),
+me AS (SELECT {by}round(tr, 6) AS total_return, round(pow(1 + tr, 1 / ((n - 1) / {n!r}::DOUBLE)) - 1, 6) AS annualized_return, round(sd * sqrt({n!r}), 6) AS volatility, round(CASE WHEN sx > 2.220446049250313e-16 THEN mx / sx * sqrt({n!r}) END, 6) AS sharpe,
+       round(dd, 6) AS max_drawdown, round(tim, 6) AS time_in_market, coalesce(nt, 0)::BIGINT AS n_trades, round(wr, 6) AS win_rate, round(av, 4) AS avg_trade FROM em {on})"""
+
+
+def finished(df: DataFrame) -> DataFrame:
+    return rounded(rounded(df.withColumn("avg_trade", F.round("avg_trade", 4))), 6)
+
+
+def single(spark, d, panel="ptype_month", opening=ledger.Opening(CASH), c=COST, qty=10.0, target=None):
+    x = crossover_panel(spark, d, panel, qty=qty)
+    x = x if target is None else x.withColumn("target", target)
+    ev = ledger.events(ledger.fills(x, c, opening), "1995-03-01", opening)
+    return x, ev
+
+
+_EV = "ts_utc, event_type, instrument_id, side, round(qty, 6) AS qty, round(price, 6) AS price, round(fee, 4) AS fee, round(cash_delta, 4) AS cash_delta, round(position_delta, 6) AS position_delta, event_seq"
+
+
+def events_out(ev: DataFrame) -> DataFrame:
+    four = ("fee", "cash_delta")
+    return ev.select("ts_utc", "event_type", "instrument_id", "side", *[F.round(c, 4 if c in four else 6).alias(c) for c in ("qty", "price", "fee", "cash_delta", "position_delta")], "event_seq")
+
+
+@register("b05_fills_next_open", f"WITH {crossover_sql()}, {run_sql(bps=0, fixed=0)} SELECT {_EV} FROM ev")
+def b05(spark, d):
+    return events_out(single(spark, d, c=cost.zero())[1])
+
+
+@register("b07_cost_spread", f"WITH {crossover_sql()}, {run_sql(bps=25, fixed=0)} SELECT {_EV} FROM ev")
+def b07(spark, d):
+    return events_out(single(spark, d, c=cost.spread_bps(25))[1])
+
+
+@register("b08_cost_fees", f"WITH {crossover_sql()}, {run_sql(bps=10, fixed=2.5, notional=7)} SELECT {_EV} FROM ev")
+def b08(spark, d):
+    return events_out(single(spark, d, c=cost.chain(cost.spread_bps(10), cost.fixed_fee(2.5), cost.notional_bps_fee(7)))[1])
+
+
+def _flips() -> tuple:
+    return F.when(F.col("close") > F.col("slow"), "LONG").when(F.col("close") < F.col("slow"), "SHORT").otherwise("FLAT")
+
+
+_FLIP_SQL = f"{P}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts_utc) AS rn FROM bars), sl AS (SELECT *, CASE WHEN rn >= 8 THEN avg(close) {_over(8)} END AS slow FROM n), tg AS (SELECT *, CASE WHEN close > slow THEN 3.0 WHEN close < slow THEN -2.0 ELSE 0.0 END AS target FROM sl)"
+
+
+@register("b28_signal_strategy", f"WITH {_FLIP_SQL}, {run_sql()} SELECT {_EV} FROM ev")
+def b28(spark, d):
+    return events_out(single(spark, d, target=strategy.signal_map(_flips(), 3, 0, -2))[1])
+
+
+@register("b10_risk_long_only", f"WITH {_FLIP_SQL.replace('-2.0', '0.0')}, {run_sql()} SELECT {_EV} FROM ev")
+def b10(spark, d):
+    return events_out(single(spark, d, target=risk.long_only().column(strategy.signal_map(_flips(), 3, 0, -2)))[1])
+
+
+_FL = "event_seq, ts_utc, instrument_id, side, round(qty, 6) AS qty, round(price, 6) AS price, round(fee, 4) AS fee, action, round(realized_pnl, 4) AS realized_pnl"
+
+
+def fills_out(f: DataFrame) -> DataFrame:
+    return f.select("event_seq", "ts_utc", "instrument_id", "side", F.round("qty", 6).alias("qty"), F.round("price", 6).alias("price"), F.round("fee", 4).alias("fee"), "action", F.round("realized_pnl", 4).alias("realized_pnl"))
+
+
+@register("b14_fills_fifo", f"WITH {_FLIP_SQL}, {run_sql()} SELECT {_FL} FROM fl")
+def b14(spark, d):
+    return fills_out(accounting.fill_rows(single(spark, d, target=strategy.signal_map(_flips(), 3, 0, -2))[1]))
+
+
+@register("b15_trades", f"WITH {_FLIP_SQL}, {run_sql()} SELECT {_FL} FROM fl WHERE action = 'CLOSE'")
+def b15(spark, d):
+    return fills_out(accounting.trades(single(spark, d, target=strategy.signal_map(_flips(), 3, 0, -2))[1]))
+
+
+_OPEN_SQL = run_sql(opening=OPEN, start="1995-03-01")
+
+
+@register("b11_ledger", f"WITH {crossover_sql()}, {_OPEN_SQL} SELECT {_EV} FROM ev")
+def b11(spark, d):
+    return events_out(single(spark, d, opening=OPEN)[1])
+
+
+@register("b12_lots_with_openings", f"WITH {crossover_sql()}, {_OPEN_SQL} SELECT {_FL} FROM fl")
+def b12(spark, d):
+    return fills_out(accounting.fill_rows(single(spark, d, opening=OPEN)[1]))
+
+
+_EQ = "ts_utc, round(cash, 4) AS cash, round(positions_value, 4) AS positions_value, round(equity, 4) AS equity, round(realized_pnl, 4) AS realized_pnl, round(unrealized_pnl, 4) AS unrealized_pnl"
+
+
+@register("b16_equity", f"WITH {crossover_sql()}, {_OPEN_SQL} SELECT {_EQ} FROM eq")
+def b16(spark, d):
+    x, ev = single(spark, d, opening=OPEN)
+    return rounded(accounting.equity(x, ev, CASH), 4)
+
+
+@register("b16_unrealized", f"WITH {_FLIP_SQL}, {run_sql()} SELECT {_EQ} FROM eq")
+def b16_short(spark, d):
+    x, ev = single(spark, d, target=strategy.signal_map(_flips(), 3, 0, -2))
+    return rounded(accounting.equity(x, ev, CASH), 4)
+
+
+@register("b17_returns", f"WITH {crossover_sql()}, {_OPEN_SQL} SELECT ts_utc, round(equity, 4) AS equity, round(period_return, 8) AS period_return FROM rt")
+def b17(spark, d):
+    x, ev = single(spark, d, opening=OPEN)
+    return accounting.period_returns(accounting.equity(x, ev, CASH)).select("ts_utc", F.round("equity", 4).alias("equity"), F.round("period_return", 8).alias("period_return"))
+
+
+@register("w07_drawdown", f"WITH {crossover_sql()}, {_OPEN_SQL} SELECT ts_utc, round(running_max, 4) AS running_max, round(drawdown, 8) AS drawdown FROM rt")
+def w07(spark, d):
+    x, ev = single(spark, d, opening=OPEN)
+    return accounting.drawdown(accounting.equity(x, ev, CASH)).select("ts_utc", F.round("running_max", 4).alias("running_max"), F.round("drawdown", 8).alias("drawdown"))
+
+
+@register("a18_final_positions", f"WITH {crossover_sql()}, {_OPEN_SQL} SELECT instrument_id, round(sum(position_delta), 6) AS position FROM ev WHERE ts_utc <= '1999-06-01' GROUP BY 1")
+def a18(spark, d):
+    return rounded(accounting.final_state(single(spark, d, opening=OPEN)[1], CASH, asof="1999-06-01")[0])
+
+
+@register("b05_unfilled", f"WITH {crossover_sql()}, {run_sql()} SELECT decision_ts AS ts_utc, instrument_id, 'LAST_BAR_NO_FILL' AS warning, round(delta, 6) AS delta FROM d WHERE abs(delta) > 1.4901161193847656e-08 AND ts_utc IS NULL")
+def b05_unfilled(spark, d):
+    return rounded(ledger.unfilled(crossover_panel(spark, d)))
+
+
+@register("a12_metrics", f"WITH {crossover_sql()}, {_OPEN_SQL}, {metrics_sql()} SELECT * FROM me")
+def a12(spark, d):
+    x, ev = single(spark, d, opening=OPEN)
+    return finished(metrics.metrics(accounting.equity(x, ev, CASH), accounting.trades(ev), MONTHLY))
+
+
+@register("a12_metrics_event_day", f"WITH {crossover_sql('event_day', qty=100.0)}, {run_sql()}, {metrics_sql(context=DAILY)} SELECT * FROM me")
+def a12_day(spark, d):
+    x, ev = single(spark, d, "event_day", qty=100.0)
+    return finished(metrics.metrics(accounting.equity(x, ev, CASH), accounting.trades(ev), DAILY))
+
+
+@register("b26_top_n_equal_weight", f"WITH {P}, s AS (SELECT *, close / lag(close, 3) OVER (PARTITION BY instrument_id ORDER BY ts_utc) - 1 AS r FROM bars), k AS (SELECT *, r IS NOT NULL AND row_number() OVER (PARTITION BY ts_utc ORDER BY r DESC NULLS LAST, instrument_id) <= 2 AS selected FROM s) SELECT instrument_id, ts_utc, selected, round(CASE WHEN selected THEN 1.0 / sum(selected::INT) OVER (PARTITION BY ts_utc) ELSE 0 END, 6) AS weight FROM k")
+def b26(spark, d):
+    x = strategy.select_top_n(ind.returns(panels.ptype_month(spark, d), 3, "r"), "r", 2)
+    return rounded(strategy.weight_equal(x).select("instrument_id", "ts_utc", "selected", "weight"))
+
+
+@register("b19_warmup_diagnostics", f"WITH {P}, c AS (SELECT instrument_id, count(*) AS available FROM bars GROUP BY 1), f(feature_id, stable_after) AS (VALUES ('sma_5', 5), ('ema_80', 81), ('returns_100', 101)) SELECT instrument_id, feature_id, stable_after::INT AS stable_after, available FROM c CROSS JOIN f WHERE available < stable_after")
+def b19(spark, d):
+    contracts = spark.createDataFrame([("sma_5", 5), ("ema_80", 81), ("returns_100", 101)], "feature_id string, stable_after int")
+    have = panels.ptype_month(spark, d).groupBy("instrument_id").agg(F.count(F.lit(1)).alias("available"))
+    return have.crossJoin(contracts).where("available < stable_after").select("instrument_id", "feature_id", "stable_after", "available")
+
+
+@register("a17_quantiles", f"WITH {E} SELECT instrument_id, round(quantile_cont(close, 0.5), 6) AS p50, round(quantile_cont(close, 0.99), 6) AS p99 FROM bars GROUP BY 1")
+def a17(spark, d):
+    return rounded(panels.event_day(spark, d).groupBy("instrument_id").agg(F.percentile("close", 0.5).alias("p50"), F.percentile("close", 0.99).alias("p99")))
+
+
+@register("rng_seeds", "WITH g AS (SELECT unnest(range(1, 50)) AS n), h AS (SELECT n, sha256('run-' || n) AS x FROM g) SELECT n, (" + " + ".join(f"('0x' || substr(x, {s}, 6))::BIGINT * {w}" for s, w in zip((1, 7, 13, 19, 25, 31), (1, 17, 257, 4099, 65537, 104729), strict=True)) + ") % 2147483647 + 1 AS seed FROM h")
+def rng(spark, d):
+    return spark.range(1, 50).select(F.col("id").alias("n"), seed_column(F.concat(F.lit("run-"), F.col("id").cast("string"))).alias("seed"))
+
+
+# Sweeps ---------------------------------------------------------------------------------------
+
+_GRID_SQL = "g(candidate_id, candidate_row, fast, slow) AS (VALUES " + ", ".join(f"('{c.label}', {i + 1}, {c.params['fast']}, {c.params['slow']})" for i, c in enumerate(GRID)) + ")"
+_PICK = lambda p, ns: f"CASE {p} " + " ".join(f"WHEN {n} THEN CASE WHEN rn >= {n} THEN sma_{n} END" for n in ns) + " END"
+_SWEEP_SQL = f"""{P}, {_GRID_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts_utc) AS rn, {', '.join(f'avg(close) {_over(n)} AS sma_{n}' for n in FAST + SLOW)} FROM bars),
+tg AS (SELECT candidate_id, instrument_id, ts_utc, open, close, CASE WHEN {_PICK('fast', FAST)} / {_PICK('slow', SLOW)} - 1 > 0 THEN 10.0 ELSE 0.0 END AS target FROM n CROSS JOIN g), {run_sql('candidate_id, ')}"""
+
+
+def grid_table(spark) -> DataFrame:
+    return GRID.table(spark, {"fast": "int", "slow": "int"})
+
+
+def sweep_of(spark, d) -> sweep.Sweep:
+    return sweep.crossover(panels.ptype_month(spark, d), grid_table(spark), FAST, SLOW, COST, 10.0, ledger.Opening(CASH))
+
+
+@register("g01_grid", f"WITH {_GRID_SQL} SELECT candidate_id, candidate_row, fast, slow FROM g")
+def g01(spark, d):
+    return grid_table(spark)
+
+
+@register("g03_sweep_metrics", f"WITH {_SWEEP_SQL}, {metrics_sql('candidate_id, ')} SELECT * FROM me")
+def g03(spark, d):
+    return finished(sweep_of(spark, d).metrics(MONTHLY))
+
+
+@register("g07_returns_long", f"WITH {_SWEEP_SQL} SELECT candidate_id, ts_utc, round(equity, 4) AS equity, round(period_return, 8) AS period_return FROM rt")
+def g07(spark, d):
+    return sweep_of(spark, d).returns().select("candidate_id", "ts_utc", F.round("equity", 4).alias("equity"), F.round("period_return", 8).alias("period_return"))
+
+
+@register("g07_returns_wide", f"WITH {_SWEEP_SQL} SELECT ts_utc, " + ", ".join(f"round(max(period_return) FILTER (candidate_id = '{c.label}'), 8) AS {c.label}" for c in GRID) + " FROM rt GROUP BY 1")
+def g07_wide(spark, d):
+    return rounded(sweep.returns_wide(sweep_of(spark, d).returns(), [c.label for c in GRID]), 8)
+
+
+@register("g08_panel_completeness", f"WITH {_SWEEP_SQL}, x AS (SELECT * FROM rt WHERE NOT (candidate_id = 'f2_s6' AND year(ts_utc) = 1997)) SELECT candidate_id, count(DISTINCT ts_utc) AS have, (SELECT count(DISTINCT ts_utc) FROM x) AS total FROM x GROUP BY 1 HAVING have <> total")
+def g08(spark, d):
+    return sweep.incomplete(sweep_of(spark, d).returns().where("not (candidate_id = 'f2_s6' and year(ts_utc) = 1997)"))
+
+
+@register("g09_review_top5", f"WITH {_SWEEP_SQL}, {metrics_sql('candidate_id, ')}, r AS (SELECT me.candidate_id, candidate_row, sharpe, row_number() OVER (ORDER BY sharpe DESC NULLS LAST, candidate_row)::INT AS rank FROM me JOIN g USING (candidate_id)) SELECT * FROM r WHERE rank <= 5")
+def g09(spark, d):
+    got = finished(sweep_of(spark, d).metrics(MONTHLY)).join(grid_table(spark).select("candidate_id", "candidate_row"), "candidate_id")
+    return sweep.review(got, "sharpe").select("candidate_id", "candidate_row", "sharpe", "rank")
+
+
+@register("a14_run_compare", f"WITH {_SWEEP_SQL}, {metrics_sql('candidate_id, ')} SELECT candidate_id, total_return, max_drawdown, n_trades, row_number() OVER (ORDER BY total_return DESC NULLS LAST, candidate_id)::INT AS rank FROM me")
+def a14(spark, d):
+    return metrics.compare_runs(finished(sweep_of(spark, d).metrics(MONTHLY)), rank_by="total_return").select("candidate_id", "total_return", "max_drawdown", "n_trades", "rank")
+
+
+_SPLITS = "sp(case_id, block, is_in) AS (VALUES " + ", ".join(f"({c}, {b}, {str(i).lower()})" for c, b, i in validation.splits(4)) + ")"
+_PBO = f"""{_SWEEP_SQL}, {_SPLITS},
+x AS (SELECT candidate_id, period_return, row_number() OVER (PARTITION BY candidate_id ORDER BY ts_utc) AS rn, count(*) OVER (PARTITION BY candidate_id) AS n FROM rt WHERE period_return IS NOT NULL),
+bl AS (SELECT candidate_id, (rn - 1) // (n // 4) + 1 AS block, sum(period_return) AS r, any_value(n) AS n FROM x GROUP BY 1, 2),
+cs AS (SELECT case_id, candidate_id, round(sum(r) FILTER (is_in) / (any_value(n) / 2), 12) AS ins, round(sum(r) FILTER (NOT is_in) / (any_value(n) / 2), 12) AS oos FROM bl JOIN sp USING (block) GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ins DESC, candidate_id) AS w, rank() OVER (PARTITION BY case_id ORDER BY oos) + (count(*) OVER (PARTITION BY case_id, oos) - 1) / 2 AS rank_, count(*) OVER (PARTITION BY case_id) AS n FROM cs),
+pc AS (SELECT case_id, candidate_id AS winner, rank_::DOUBLE AS oos_rank, rank_ / n AS omega, CASE WHEN rank_ < n THEN ln(rank_ / n / (1 - rank_ / n)) END AS logit FROM rk WHERE w = 1)"""
+
+
+@register("v01_pbo_cases", f"WITH {_PBO} SELECT case_id, winner, oos_rank, round(omega, 6) AS omega, round(logit, 6) AS logit FROM pc")
+def v01(spark, d):
+    return rounded(validation.pbo_cases(sweep_of(spark, d).returns()))
+
+
+@register("v01_pbo_summary", f"WITH {_PBO} SELECT round(avg(CASE WHEN logit <= 0 THEN 1.0 ELSE 0 END), 6) AS pbo, count(*) AS n_cases FROM pc")
+def v01_summary(spark, d):
+    return rounded(validation.pbo(sweep_of(spark, d).returns()))
+
+
+_MOMENTS = f"""{_SWEEP_SQL}, x AS (SELECT candidate_id, period_return AS e, avg(period_return) OVER (PARTITION BY candidate_id) AS m FROM rt WHERE period_return IS NOT NULL),
+mo AS (SELECT candidate_id, count(*) AS n, avg(e) / stddev_samp(e) AS sharpe, avg(pow(e - m, 3)) / pow(var_pop(e), 1.5) AS skew, avg(pow(e - m, 4)) / pow(var_pop(e), 2) AS kurtosis FROM x GROUP BY 1)"""
+_Z95 = validation.NormalDist().inv_cdf(0.95)
+
+
+@register(
+    "v02_moments_mintrl",
+    f"WITH {_MOMENTS}, t AS (SELECT *, CASE WHEN sharpe > 0 THEN 1 + (1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) * pow({_Z95!r} / sharpe, 2) END AS min_trl FROM mo) SELECT candidate_id, n, round(sharpe, 6) AS sharpe, round(skew, 6) AS skew, round(kurtosis, 6) AS kurtosis, round(min_trl, 4) AS min_trl, coalesce(n > min_trl, false) AS significant, CASE WHEN min_trl IS NULL THEN 0 ELSE ceil(greatest(min_trl - n, 0)) END::BIGINT AS extra FROM t",
+)
+def v02(spark, d):
+    x = validation.min_track_record(sweep_of(spark, d).returns())
+    return x.select("candidate_id", "n", F.round("sharpe", 6).alias("sharpe"), F.round("skew", 6).alias("skew"), F.round("kurtosis", 6).alias("kurtosis"), F.round("min_trl", 4).alias("min_trl"), "significant", F.coalesce("extra", F.lit(0)).alias("extra"))
+
+
+@register("v03_corr_pairs", f"WITH {_SWEEP_SQL} SELECT a.candidate_id AS a, b.candidate_id AS b, round(corr(a.period_return, b.period_return), 6) AS r FROM rt a JOIN rt b USING (ts_utc) WHERE a.candidate_id < b.candidate_id GROUP BY 1, 2")
+def v03(spark, d):
+    return rounded(validation.correlations(sweep_of(spark, d).returns()))
+
+
+@register("v03_clusters")
+def v03_clusters(spark, d):
+    return validation.clusters(sweep_of(spark, d).returns())
+
+
+_N = 4.0
+_BEST = (1 - validation.EULER) * validation.NormalDist().inv_cdf(1 - 1 / _N) + validation.EULER * validation.NormalDist().inv_cdf(1 - 1 / (_N * validation.math.e))
+
+
+@register("v04_dsr", f"WITH {_MOMENTS}, s AS (SELECT stddev_samp(sharpe) * {_BEST!r} AS sr0 FROM mo) SELECT candidate_id, round(sr0, 6) AS sr0, round((sharpe - sr0) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe), 6) AS dsr_z, (sharpe - sr0) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) >= {_Z95!r} AS significant FROM mo CROSS JOIN s")
+def v04(spark, d):
+    return rounded(validation.deflated_sharpe(sweep_of(spark, d).returns(), _N).select("candidate_id", "sr0", "dsr_z", "significant"))
+
+
+# Walk-forward ---------------------------------------------------------------------------------
+
+
+def _folds_sql(folds) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({f.fold_seq}, '{f.scheme}', TIMESTAMP '{f.train_start}', TIMESTAMP '{f.train_end}', TIMESTAMP '{f.test_start}', TIMESTAMP '{f.test_end}')" for f in folds) + ") t(fold_seq, scheme, train_start, train_end, test_start, test_end)"
+
+
+register("v05_folds_rolling", _folds_sql(FOLDS))(lambda spark, d: walkforward.table(spark, FOLDS))
+register("v05_folds_anchored", _folds_sql(FOLDS_ANCHORED))(lambda spark, d: walkforward.table(spark, FOLDS_ANCHORED))
+
+_WF_BY = "fold_seq, window_, candidate_id, "
+_WF = f"""{P}, {_GRID_SQL}, fo AS ({_folds_sql(FOLDS)}), wi AS (SELECT fold_seq, 'train' AS window_, train_start AS lo, train_end AS hi FROM fo UNION ALL SELECT fold_seq, 'test', test_start, test_end FROM fo),
+n AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts_utc) AS rn, {', '.join(f'avg(close) {_over(n)} AS sma_{n}' for n in FAST + SLOW)} FROM bars),
+tg AS (SELECT fold_seq, window_, candidate_id, instrument_id, ts_utc, open, close, CASE WHEN {_PICK('fast', FAST)} / {_PICK('slow', SLOW)} - 1 > 0 THEN 10.0 ELSE 0.0 END AS target FROM n CROSS JOIN g JOIN wi ON ts_utc BETWEEN lo AND hi), {run_sql(_WF_BY)}, {metrics_sql(_WF_BY)}"""
+_SEL = "se AS (SELECT fold_seq, candidate_id FROM me WHERE window_ = 'train' AND sharpe IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fold_seq ORDER BY sharpe DESC, candidate_id) = 1)"
+
+
+def wf_scores(spark, d) -> DataFrame:
+    lengths = FAST + SLOW
+    x = sweep.with_features(panels.ptype_month(spark, d), {f"sma_{n}": (lambda df, o, n=n: ind.sma(df, n, o)) for n in lengths})
+
+    def pick(p, ns):
+        out = F.lit(None).cast("double")
+        for n in ns:
+            out = F.when(F.col(p) == n, F.col(f"sma_{n}")).otherwise(out)
+        return out
+
+    return finished(walkforward.scores(x, grid_table(spark), strategy.sma_crossover(pick("fast", FAST), pick("slow", SLOW), 10.0), COST, FOLDS, MONTHLY, ledger.Opening(CASH)))
+
+
+@register("v06_walk_forward_scores", f"WITH {_WF} SELECT * RENAME (window_ AS \"window\") FROM me")
+def v06(spark, d):
+    return wf_scores(spark, d)
+
+
+@register("v06_selected", f"WITH {_WF}, {_SEL} SELECT * FROM se")
+def v06_selected(spark, d):
+    return walkforward.select(wf_scores(spark, d), "sharpe")
+
+
+@register("v07_degradation", f"WITH {_WF}, {_SEL}, j AS (SELECT se.fold_seq, se.candidate_id, max(sharpe) FILTER (window_ = 'train') AS train, max(sharpe) FILTER (window_ = 'test') AS test FROM me JOIN se USING (fold_seq, candidate_id) GROUP BY 1, 2) SELECT j.fold_seq, candidate_id, round(train, 6) AS train, round(test, 6) AS test, date_diff('day', test_start, test_end) < 90 AS short_test_window, round(test - train, 6) AS diff_abs, round((test - train) / nullif(abs(train), 0), 4) AS diff_pct FROM j JOIN fo USING (fold_seq)")
+def v07(spark, d):
+    s = wf_scores(spark, d)
+    x = walkforward.degradation(s, walkforward.select(s, "sharpe"), FOLDS, "sharpe")
+    return x.select("fold_seq", "candidate_id", F.round("train", 6).alias("train"), F.round("test", 6).alias("test"), "short_test_window", F.round("diff_abs", 6).alias("diff_abs"), F.round("diff_pct", 4).alias("diff_pct"))
+
+
+@register("v07_long_scores", f"WITH {_WF} " + " UNION ALL ".join(f"SELECT fold_seq, window_ AS \"window\", candidate_id, '{m}' AS metric, {m}::DOUBLE AS value FROM me" for m in metrics.STANDARD))
+def v07_long(spark, d):
+    return walkforward.long_scores(wf_scores(spark, d))

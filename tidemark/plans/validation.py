@@ -55,13 +55,13 @@ def pbo_cases(returns: DataFrame, s: int = 4) -> DataFrame:
     m = m.withColumns({"w": F.row_number().over(win), "rank_": F.rank().over(Window.partitionBy("case_id").orderBy("oos")) + (tie - 1) / 2, "n": F.count(F.lit(1)).over(Window.partitionBy("case_id"))})
     m = m.where("w = 1").withColumn("omega", F.col("rank_") / F.col("n"))
     lam = F.when(F.col("omega") < 1, F.ln(F.col("omega") / F.nullif(1 - F.col("omega"), F.lit(0.0))))
-    return m.select("case_id", F.col("candidate_id").alias("winner"), F.col("rank_").cast("double").alias("oos_rank"), "omega", lam.alias("lambda"))
+    return m.select("case_id", F.col("candidate_id").alias("winner"), F.col("rank_").cast("double").alias("oos_rank"), "omega", lam.alias("logit"))
 
 
 def pbo(returns: DataFrame, s: int = 4, threshold: float = 0.0) -> DataFrame:
     """The probability of back-test overfitting: the share of splits with lambda up to ``threshold``."""
     c = pbo_cases(returns, s)
-    return c.agg(F.avg(F.when(F.col("lambda") <= threshold, 1.0).otherwise(0.0)).alias("pbo"), F.count(F.lit(1)).alias("n_cases"))
+    return c.agg(F.avg(F.when(F.col("logit") <= threshold, 1.0).otherwise(0.0)).alias("pbo"), F.count(F.lit(1)).alias("n_cases"))
 
 
 def moments(returns: DataFrame, risk_free: float = 0.0) -> DataFrame:
