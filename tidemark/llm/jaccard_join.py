@@ -236,54 +236,67 @@ def _sets(docs: DataFrame, k: int, percent: int, shared, groups_bits: int) -> Da
 
 
 def _keys(sets: DataFrame, shared, light: int, percent: int, groups_bits: int) -> DataFrame:
-    """(h, node, n, central): subsets of light sets and prefix shingles of the others. Light
-    sets that may link with a heavy one are in both."""
+    """(h, pos, node, n, central): subsets of light sets, and prefix shingles of the others with
+    their place in the order. Light sets that may link with a heavy one are in both."""
 
     def run(batches):
         _, top, of = shared.value
         for batch in batches:
-            nodes, keys, sizes, cent = [], [], [], []
+            nodes, keys, places, sizes, cent = [], [], [], [], []
             for node, b, c in zip(*[batch.column(x).to_pylist() for x in ("node", "shingles", "central")], strict=True):
                 s = np.frombuffer(b, "<u8")
-                n, own = len(s), []
+                n, own, pos = len(s), [], []
                 if n <= light:
                     own.append(subset_keys(s, percent))
+                    pos.append(np.zeros(len(own[-1]), np.int64))
                 if 100 * n >= percent * (light + 1):
                     v = s >> np.uint64(32 - groups_bits)
                     at = np.minimum(np.searchsorted(top, v), max(len(top) - 1, 0))
                     df = np.where(top[at] == v, of[at], 0) if len(top) else np.zeros(n)
                     own.append(s[np.lexsort((s, df))[: prefix_size(n, percent)]])
-                own = np.unique(np.concatenate(own))
-                keys.append(own)
-                nodes += [node] * len(own)
-                sizes += [n] * len(own)
-                cent += [c] * len(own)
+                    pos.append(np.arange(len(own[-1])))
+                keys += own
+                places += pos
+                k = sum(map(len, own))
+                nodes += [node] * k
+                sizes += [n] * k
+                cent += [c] * k
             h = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"h": h, "node": pa.array(nodes, pa.binary()), "n": pa.array(sizes, pa.int64()), "central": pa.array(cent, pa.float64())})
+            at = np.concatenate(places) if places else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_pydict({"h": h, "pos": pa.array(at, pa.int64()), "node": pa.array(nodes, pa.binary()), "n": pa.array(sizes, pa.int64()), "central": pa.array(cent, pa.float64())})
 
-    return sets.mapInArrow(run, "h long, node binary, n long, central double")
+    return sets.mapInArrow(run, "h long, pos long, node binary, n long, central double")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets link."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, both): sizes and intersection of the full sets of each pair."""
 
     def run(batches):
         for batch in batches:
-            keep = []
+            out = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+                out.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+            cols = list(zip(*out, strict=True)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *[pa.array(c, pa.int64()) for c in cols]], names=["a", "b", "na", "nb", "both"])
 
     one = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, na long, nb long, both long")
+
+
+def _links(measured: DataFrame, percent: int) -> DataFrame:
+    return measured.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _in_reach(n: str, m: str, percent: int):
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) if n != m else F.lit(True)
+def _in_reach(n: str, pos: str, m: str, at: str, percent: int):
+    """Whether sets of n and m shingles whose first common one is at these places can link.
+
+    What stands before the first common shingle isn't shared, so it must leave the
+    least intersection. A pair that links is in the list of its first common shingle.
+    """
+    need = percent * (F.col(n) + F.col(m))
+    return ((100 + percent) * (F.col(n) - F.col(pos)) >= need) & ((100 + percent) * (F.col(m) - F.col(at)) >= need)
 
 
 def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -308,25 +321,40 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     light = boundary(sizes, mean_list, percent)
     posts = materialise(_keys(sets, shared, light, percent, groups_bits), "postings")
 
-    lists = posts.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", "node", "n")).alias("lead")).where("m > 1")
-    lists = materialise(lists.select("h", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "lists")
-    members = materialise(posts.join(lists, "h").select("h", "node", "n", "lead", "lead_n"), "members")
-    pairs = members.where(_in_reach("n", "lead_n", percent)).select(F.col("lead").alias("a"), F.col("node").alias("b")).where("a != b").distinct()
-    edges = materialise(_verified(materialise(pairs, "pairs"), sets, percent), "edges")
+    lists = posts.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", "node", "n", "pos")).alias("lead")).where("m > 1")
+    lists = materialise(lists.select("h", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos")), "lists")
+    members = materialise(posts.join(lists, "h").select("h", "pos", "node", "n", "lead", "lead_n", "lead_pos"), "members")
+    pairs = members.where(_in_reach("n", "pos", "lead_n", "lead_pos", percent)).select(F.col("lead").alias("a"), F.col("node").alias("b")).where("a != b").distinct()
+    star = materialise(_measured(materialise(pairs, "pairs"), sets), "star")
+    edges = materialise(_links(star, percent), "edges")
     comps = materialise(connected_components(edges, "a", "b", "near"), "near-comps")
 
-    # Lists in several components: members of different ones are compared with each other.
-    placed = members.join(comps, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("c"))
+    # Lists in several components: members of different ones are compared with each other,
+    # unless their distances from the list's leader, which are known, exclude a link: the
+    # Jaccard distance is a metric, so two members are at least as far apart as these differ.
+    placed = members.join(comps, "node", "left").select("h", "pos", "node", "n", "lead", "lead_n", F.coalesce("component", "node").alias("c"))
     placed = materialise(placed, "placed")
     torn = materialise(placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("h"), "torn")
     left = placed.join(torn, "h")
     main = materialise(left.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max(F.struct("m", "c")).alias("x")).select("h", F.col("x.c").alias("main")), "main")
-    left = materialise(left.join(main, "h").withColumn("odd", F.col("c") != F.col("main")).drop("main"), "left")
-    a = left.where("odd").select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = left.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "odd")
-    both = a.join(b, "h").where((F.col("ca") != F.col("cb")) & (~F.col("odd") | (F.col("a") < F.col("b"))) & _in_reach("na", "nb", percent))
-    more = materialise(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cross-pairs")
-    found = materialise(_verified(more, sets, percent), "cross-edges")
+    left = left.join(main, "h").withColumn("odd", F.col("c") != F.col("main"))
+    known = star.select(F.col("a").alias("lead"), F.col("b").alias("node"), "both")
+    apart = 1 - F.col("both") / (F.col("n") + F.col("lead_n") - F.col("both"))
+    own = F.col("node") == F.col("lead")
+    left = left.join(known, ["lead", "node"], "left").select(
+        "h", "pos", "node", "n", "c", "odd",
+        F.when(own, 0.0).otherwise(F.coalesce(apart, 1 - F.least("n", "lead_n") / F.greatest("n", "lead_n"))).alias("least"),
+        F.when(own, 0.0).otherwise(F.coalesce(apart, F.lit(1.0))).alias("most"),
+    )
+    left = materialise(left, "left")
+    a = left.where("odd").select("h", *[F.col(c).alias(f"{c}_a") for c in ("node", "pos", "n", "c", "least", "most")])
+    b = left.select("h", "odd", *[F.col(c).alias(f"{c}_b") for c in ("node", "pos", "n", "c", "least", "most")])
+    far = 1 - percent / 100 + 1e-9
+    near = (F.col("least_a") - F.col("most_b") <= far) & (F.col("least_b") - F.col("most_a") <= far)
+    once = ~F.col("odd") | (F.col("node_a") < F.col("node_b"))
+    both = a.join(b, "h").where((F.col("c_a") != F.col("c_b")) & once & near & _in_reach("n_a", "pos_a", "n_b", "pos_b", percent))
+    more = materialise(both.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct(), "cross-pairs")
+    found = materialise(_links(_measured(more, sets), percent), "cross-edges")
     if not found.isEmpty():
         comps = materialise(connected_components(edges.unionByName(found), "a", "b", "near"), "near-comps")
 
