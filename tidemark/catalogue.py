@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import indicators as ind
 from .operators import accounting, cost, ledger, metrics, risk, strategy
-from .plans import grids, sweep, validation, walkforward
+from .plans import fold, grids, sweep, validation, walkforward
 from .schema import seed_column
 from .sources import panels, snapshots
 
@@ -596,3 +596,49 @@ def v07(spark, d):
 @register("v07_long_scores", f"WITH {_WF} " + " UNION ALL ".join(f"SELECT fold_seq, window_ AS \"window\", candidate_id, '{m}' AS metric, {m}::DOUBLE AS value FROM me" for m in metrics.STANDARD))
 def v07_long(spark, d):
     return walkforward.long_scores(wf_scores(spark, d))
+
+
+# Stateful folds -------------------------------------------------------------------------------
+
+
+def _rebalance(ctx, params):
+    return fold.target_rebalance(fold.weight_equal(fold.select_top_n(fold.signal_return(ctx, "r"), params["n"])), ctx, 0.9)
+
+
+def _alternate(ctx, params):
+    k = (ctx.state_prev or 0) + 1
+    return {"targets": {i: float(params["qty"] * (k % 2)) for i in ctx.universe}, "state_update": k}
+
+
+def _grow(ctx, params):
+    return {i: 100.0 + 1.0 * params["step"] for i in ctx.universe}
+
+
+def _fold_out(df: DataFrame) -> DataFrame:
+    return df.select("candidate_id", "status", "n_events", "ts_utc", *[F.round(c, 3).alias(c) for c in ("cash", "positions_value", "equity", "realized_pnl", "unrealized_pnl")])
+
+
+@register("fold_rebalance")
+def fold_rebalance(spark, d):
+    grid = grids.grid_named(top1={"n": 1}, top3={"n": 3})
+    return _fold_out(fold.fold_sweep(ind.returns(panels.ptype_month(spark, d), 3, "r"), grid, _rebalance, COST, risk.long_only(), ledger.Opening(CASH), ("r",)))
+
+
+@register("fold_max_weight")
+def fold_max_weight(spark, d):
+    grid = grids.grid_named(small={"step": 1, "w": 0.05}, large={"step": 50, "w": 0.2})
+    return _fold_out(fold.fold_sweep(panels.ptype_month(spark, d), grid, _grow, COST, risk.max_weight(risk.Param("w")), ledger.Opening(CASH)))
+
+
+_EVEN_SQL = f"{E}, tg AS (SELECT *, CASE WHEN dense_rank() OVER (ORDER BY ts_utc) % 2 = 1 THEN 3.0 ELSE 0.0 END AS target FROM bars), {run_sql()}"
+
+
+@register("fold_state_prev", f"WITH {_EVEN_SQL} SELECT 'c' AS candidate_id, 'DONE' AS status, (SELECT count(*) FROM ev) AS n_events, {_EQ.replace(", 4)", ", 3)")} FROM eq")
+def fold_state_prev(spark, d):
+    return _fold_out(fold.fold_sweep(panels.event_day(spark, d), grids.grid_named(c={"qty": 3}), _alternate, COST, risk.none(), ledger.Opening(CASH)))
+
+
+@register("fold_failed_candidate", "SELECT * FROM (VALUES ('bad', 'FAILED'), ('good', 'DONE')) t(candidate_id, status)")
+def fold_failed(spark, d):
+    grid = grids.grid_named(good={"qty": 1}, bad={"other": 1})
+    return fold.fold_sweep(panels.event_day(spark, d), grid, _alternate, COST, opening=ledger.Opening(CASH)).select("candidate_id", "status").distinct()
