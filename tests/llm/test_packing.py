@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from tidemark.llm.packing import Plan, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = [(1, None), (2, ""), (3, "  \n\t"), (4, "It's a Test, é  x\x1cy <|endoftext|> 12!"), (5, "word " * 9000), (5, "word " * 9000), (None, "ça va ß İ"), (8, "日本語 " * 700)]
+ODD = [(1, None), (2, ""), (3, "  \n\t"), (4, "It's a Test, é  x\x1cy <|endoftext|> 12!"), (5, "word " * 9000), (5, "word " * 9000), (None, "ça va ß İ"), (8, "日本語 " * 700), (9, "Ünd, A<|ENDOFTEXT|> <|endoftext|>, É. E\u0301, don't', »., a=\u0338 b")]
 
 
 def check_places(rows, capacity):

@@ -11,10 +11,13 @@ their rank within their length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from functools import cache
 from itertools import combinations_with_replacement
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +27,17 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Words that a worker remembers at most before it forgets all of them.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
+#: A letter, and the punctuation after it up to the end of a chunk: always two words.
+_TAIL = re.compile(rb"(?<=[a-z])([,.!?;:#*$%&|<>]+)(?=[ \t\n\v\f\r]|$)")
 
 
 class ChunkEncoder:
     """Ids of whole texts under a tokenizer that drops white space and never joins over it.
 
-    A text is cut at ASCII white space, where such a tokenizer always ends a word, and the
-    ids of each chunk are remembered: equal to encoding the text at once.
+    A text is cut at ASCII white space and before punctuation that ends a chunk, where such
+    a tokenizer always ends a word, and the ids of each chunk are remembered: equal to
+    encoding the text at once. A-Z are lower-cased first, as the tokenizer does anyway.
     """
 
     def __init__(self, path: str):
@@ -41,11 +47,15 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.special = [x.content.encode().lower() for x in self.tok.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        chunks = (text or "").encode("utf-8", "replace").split()
+        raw = (text or "").encode("utf-8", "replace")
+        low = raw.lower()
+        # A special token's own text must reach the tokenizer as it is.
+        chunks = raw.split() if any(x in low for x in self.special) else _TAIL.sub(rb" \1", low).split()
         known = self.known
         new = list(set(chunks).difference(known))
         if new:
@@ -55,10 +65,16 @@ class ChunkEncoder:
             for at in range(0, len(new), 4096):
                 part = new[at : at + 4096]
                 for chunk, e in zip(part, self.tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                    known[chunk] = np.array(e.ids, "<u4").tobytes()
+                    known[chunk] = pack_ids(f"<{len(e.ids)}I", *e.ids)
         return b"".join(map(known.__getitem__, chunks))
 
 
+@cache
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder for all tasks of a Python worker, so that what it remembers lasts."""
+    return ChunkEncoder(path)
+
+
 def cut(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """(id, piece, start, length, ids_crc32, salt) of each document's ids and ``end_id``
     after them, cut at ``capacity``. Null text counts as empty: one piece of ``end_id``."""
@@ -68,7 +84,7 @@ def cut(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_co
     arrow = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("salt", pa.int32())])
 
     def run(batches):
-        encoder, row = ChunkEncoder(tokenizer_path), 0
+        encoder, row = encoder_of(tokenizer_path), 0
         for batch in batches:
             owner, out = [], []
             for i, text in enumerate(batch.column(1)):
