@@ -179,22 +179,23 @@ def _text(ids: bytes, table: list[bytes]) -> str:
 
 def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", max_words: int = 300_000) -> DataFrame:
     """Per row: id, ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas) and
-    ``decoded_sha256`` (of the decoded text), from ``encode`` and ``decode``."""
-    coded = decode(encode(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), path, text_col=text_col, max_words=max_words), path)
-    kind = docs.schema[id_col]
+    ``decoded_sha256`` (of the decoded text): what ``encode`` and ``decode`` give, text by
+    text in one Python worker, which never holds the ids of more than one text."""
+    some = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    rows = word_table(some, path, text_col=text_col, max_words=max_words).collect()
+    shared = docs.sparkSession.sparkContext.broadcast({r.word: bytes(r.ids) for r in rows})
 
     def run(batches):
-        decimal: list[bytes] = []
+        encoder, table = WordEncoder(path), pieces(path)
+        decimal = [b"%d" % i for i in range(len(table))]
         for batch in batches:
             n, first, second = [], [], []
-            for ids, text in zip(batch.column(1), batch.column(2), strict=True):
-                got = np.frombuffer(ids.as_py(), "<u4")
-                if len(got) and len(decimal) <= got.max():
-                    decimal += [b"%d" % i for i in range(len(decimal), int(got.max()) + 1)]
+            for ids in _encoded((x.as_py() for x in batch.column(1)), shared.value, encoder):
+                got = np.frombuffer(ids, "<u4").tolist()
                 n.append(len(got))
-                first.append(hashlib.sha256(b",".join(map(decimal.__getitem__, got.tolist()))).hexdigest())
-                second.append(hashlib.sha256(text.as_py().encode()).hexdigest())
+                first.append(hashlib.sha256(b",".join(map(decimal.__getitem__, got))).hexdigest())
+                second.append(hashlib.sha256(_text(ids, table).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    schema = T.StructType([kind, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return coded.select(F.col(f"`{id_col}`"), "ids", "decoded").mapInArrow(run, schema)
+    schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return some.mapInArrow(run, schema)
