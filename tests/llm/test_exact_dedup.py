@@ -1,3 +1,7 @@
+import os
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.exact_dedup import deduplicate
@@ -34,3 +38,23 @@ def test_later_files_join_the_state(spark, tmp_path):
         spark.createDataFrame(part, "doc_id long, text string").write.mode("append").parquet(path)
         got = deduplicate(spark, path, state_path=state)
     check(got)
+
+
+def test_later_files_of_any_age_join_the_state(spark, tmp_path):
+    path, state = str(tmp_path / "t"), str(tmp_path / "s")
+    for part, days in ((ROWS[:5], 0), (ROWS[5:8], 30), (ROWS[8:], 15_000)):
+        before = set(tmp_path.glob("t/*.parquet"))
+        spark.createDataFrame(part, "doc_id long, text string").write.mode("append").parquet(path)
+        for f in set(tmp_path.glob("t/*.parquet")) - before:
+            os.utime(f, (time.time() - days * 86_400,) * 2)
+        got = deduplicate(spark, path, state_path=state)
+    check(got)
+
+
+def test_state_of_other_rows_raises(spark, tmp_path):
+    path, state = str(tmp_path / "t"), str(tmp_path / "s")
+    spark.createDataFrame(ROWS, "doc_id long, text string").write.parquet(path)
+    deduplicate(spark, path, state_path=state)
+    spark.createDataFrame(ROWS[:3], "doc_id long, text string").write.mode("overwrite").parquet(path)
+    with pytest.raises(RuntimeError, match="counts 15 rows"):
+        deduplicate(spark, path, state_path=state)

@@ -49,12 +49,13 @@ def update_state(spark: SparkSession, path: str, state_path: str, *, id_col: str
     """Take the files under ``path`` that the state hasn't seen into it, and stop.
 
     A batch takes ``bytes_per_trigger`` of files at most. After a failure the next call
-    goes on from the last batch that was committed.
+    goes on from the last batch that was committed. Files of any age are taken: by default the
+    file source skips those that are seven days older than the newest one it has seen.
     """
     path = path.rstrip("/")
     schema = spark.read.parquet(path).schema
     # As a pattern that only this path fits, since a stream takes no single file by name.
-    rows = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
+    rows = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger).option("maxFileAge", "36500d").parquet(f"{path[:-1]}[{path[-1]}]")
     place = F.struct(F.col(f"`{id_col}`").alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     keyed = rows.select(digest(normalised(F.col(f"`{text_col}`"))).alias("digest"), place.alias("place"))
     state = keyed.groupBy("digest").agg(F.max("place").alias("keep"), F.count(F.lit(1)).alias("n"))
@@ -79,7 +80,8 @@ def deduplicate(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_
     is last by file and place in it. A null id is less than any other. Null text counts as
     empty. Whole texts are hashed and compared; an empty table gives an empty table.
 
-    The state must belong to this table alone. Without ``state_path`` a new one is made in
+    The state must belong to this table alone: a state that doesn't count as many rows as the
+    table has raises. Without ``state_path`` a new one is made in
     the shared folder.
 
     The least and the greatest text under each digest are found with pre-aggregation, so
@@ -90,6 +92,9 @@ def deduplicate(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_
     update_state(spark, path, state_path, id_col=id_col, text_col=text_col, digest=digest)
     state = read_state(spark, state_path)
     docs = spark.read.parquet(path)
+    counted, there = state.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], docs.count()
+    if counted != there:
+        raise RuntimeError(f"{state_path} counts {counted} rows; {path} has {there}")
     names = ("keep_id", "group_size", "kept", "text_sha256", "keep_file", "keep_row")
     own = [c for c in docs.columns if c.lower() not in names]
     base = docs.select(*[F.col(f"`{c}`") for c in own])
