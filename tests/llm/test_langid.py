@@ -27,6 +27,26 @@ def test_pieces_score_like_whole_texts(monkeypatch):
     assert model.predict(texts)[0] == want
 
 
+def test_scores_do_not_depend_on_neighbours(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(langid, "PIECE", 16)
+    rng = np.random.default_rng(2)
+    model = langid.Model(("a", "b"), np.log([0.5, 0.5]), rng.normal(size=(1 << 16, 2)).astype("float32") / 50, 16, leads=True)
+    texts = ["".join(rng.choice(list("abc d"), n)) for n in (1, 2, 3, 14, 15, 16, 17, 50, 400, 1, 2)]
+    want = []
+    for t in texts:
+        p, s = langid._points(f"  {t}  ").astype(np.uint32), np.zeros(2)
+        for n in range(1, 4):
+            for i in range(len(p) - n + 1):
+                if (p[i : i + n] != 32).any():
+                    own = np.concatenate([p[i : i + n], np.full(2, 32, np.uint32)])
+                    s += model.table[dict((k, b[0]) for k, b, _ in langid._buckets(own, 16))[n]]
+        want.append(1 / np.exp(s - s.max()).sum() if (p != 32).any() else 0.0)
+    assert np.allclose(model.predict(texts)[1], want, rtol=0, atol=1e-9)
+    assert np.allclose(model.predict(texts[::-1])[1], want[::-1], rtol=0, atol=1e-9)
+
+
 def test_odd_rows(spark):
     rows = [(1, "the house and the garden", "en"), (2, "der garten und das haus", "de"), (3, None, "en"), (4, "", None), (5, "123 !?", "xx"), (6, "x" * 1_300_000, None), (None, "und das", "de"), (1, "the house and the garden", "en")]
     df = spark.createDataFrame([(*r, "p", 0.1) for r in rows], "doc_id long, text string, lang string, _pred string, Score double")

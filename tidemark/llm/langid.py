@@ -36,59 +36,65 @@ def _points(text: str) -> np.ndarray:
 
 
 def _buckets(points: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For n of 1 to 3: n, the bucket of the n-gram at each place, and whether it has a letter."""
-    h, has = np.zeros(len(points), np.uint32), np.zeros(len(points), bool)
+    """For n of 1 to 3: n, the bucket of the n-gram at each place but the last two, and whether it has a letter."""
+    m = len(points) - 2
+    h, has = np.zeros(m, np.uint32), np.zeros(m, bool)
     for n in range(1, 4):
-        if len(points) < n:
-            return
-        m = len(points) - n + 1
-        h = (h[:m] + points[n - 1 :]) * np.uint32(0x9E3779B1)
+        h = (h + points[n - 1 : n - 1 + m]) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
-        has = has[:m] | (points[n - 1 :] != 32)
+        has = has | (points[n - 1 : n - 1 + m] != 32)
         yield n, (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits), has
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups of pieces of texts: code points, the start of each piece, its text's number.
+def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of pieces of texts: code points, the start of each piece, its text's number, and the places before texts.
 
-    Two spaces divide pieces; a long text is cut with two places of overlap, so that
-    each trigram and bigram is whole in one piece. Its overlapping places count twice for shorter n-grams.
+    Two spaces before each text are its own, and two follow a group, so that each n-gram with
+    a letter starts in the piece of one text. A long text is cut at the end of a group; the two
+    places after the cut follow that group in place of spaces, and start the next one.
     """
-    points, starts, owner, size = [], [], [], 0
+    points, starts, owner, before, size = [], [], [], [], 0
     gap = np.full(2, 32, np.uint32)
     for i, text in enumerate(texts):
         if not text:
             continue
-        whole = _points(text)
-        for at in range(0, max(1, len(whole) - 2), PIECE):
-            part = whole[at : at + PIECE + 2]
+        whole = np.concatenate([gap, _points(text), gap])
+        for at in range(0, len(whole) - 2, PIECE):
+            part = whole[at : min(at + PIECE, len(whole) - 2)]
             starts.append(size)
+            before += [] if at else [size, size + 1]
             owner.append(i)
-            points += [part, gap]
-            size += len(part) + 2
+            points.append(part)
+            size += len(part)
             if size >= PIECE:
-                yield np.concatenate(points), np.array(starts), np.array(owner)
-                points, starts, owner, size = [], [], [], 0
+                yield np.concatenate([*points, whole[at + len(part) :][:2]]), np.array(starts), np.array(owner), np.array(before, np.int64)
+                points, starts, owner, before, size = [], [], [], [], 0
     if points:
-        yield np.concatenate(points), np.array(starts), np.array(owner)
+        yield np.concatenate([*points, gap]), np.array(starts), np.array(owner), np.array(before, np.int64)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, log priors, and log probabilities of each bucket (buckets x languages)."""
+    """Languages, log priors, and log probabilities of each bucket (buckets x languages).
+
+    Without ``leads`` the n-grams that start in the spaces before a text score for no text.
+    """
 
     langs: tuple[str, ...]
     prior: np.ndarray
     table: np.ndarray
     bits: int
+    leads: bool = False
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each text and its posterior probability."""
         k = len(self.langs)
         sums, letters = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
-        for points, starts, owner in _pieces(texts):
-            np.add.at(letters, owner, np.add.reduceat((points != 32).astype(np.int64), starts))
+        for points, starts, owner, before in _pieces(texts):
+            np.add.at(letters, owner, np.add.reduceat((points[:-2] != 32).astype(np.int64), starts))
             for _, buckets, has in _buckets(points, self.bits):
+                if not self.leads:
+                    has[before] = False
                 at = np.flatnonzero(has)
                 if k and len(at):
                     rows = self.table[buckets[at]]
@@ -122,7 +128,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             for lang in np.unique(langs):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
                 got = np.zeros(1 << bits, np.int64)
-                for points, _, _ in _pieces(own):
+                for points, *_ in _pieces(own):
                     for _, buckets, has in _buckets(points, bits):
                         got += np.bincount(buckets[has], minlength=1 << bits)
                 at = np.flatnonzero(got)
@@ -139,7 +145,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         counts[r.bucket, place[r.lang]] += r.n
         docs_of[place[r.lang]] += r.docs
     table = np.log(counts / counts.sum(axis=0)).astype(np.float32) if langs else np.zeros((1 << bits, 0), np.float32)
-    return Model(langs, np.log((docs_of + 1) / (docs_of + 1).sum()), table, bits)
+    return Model(langs, np.log((docs_of + 1) / (docs_of + 1).sum()), table, bits, leads=True)
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
