@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines from texts; every document stays and ``n_chars`` follows its text."""
-    out = line_dedup.drop_repeated_lines(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = line_dedup.drop_repeated_lines(docs, distinct_ids=True).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
 
 

@@ -33,3 +33,11 @@ def test_odd_rows(spark):
     had = sorted(((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got.collect()), key=str)
     assert had == brute(rows)
     assert drop_repeated_lines(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_one_document(spark):
+    few, many = "A line that two documents hold, over forty code points.", "A line that five documents hold, over forty code points."
+    rows = [(7, f"{few}\n{many}")] * 4 + [(3, f"{few}\n{many}"), (4, many), (5, many), (6, many), (None, few)]
+    got = drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), distinct_ids=True).collect()
+    had = sorted(((r.doc_id, r.n_dropped, r.text) for r in got), key=str)
+    assert had == sorted([(7, 0, rows[0][1])] * 4 + [(3, 1, few), (4, 1, ""), (5, 1, ""), (6, 1, ""), (None, 0, few)], key=str)

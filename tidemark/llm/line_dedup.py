@@ -18,7 +18,7 @@ def line_keys(text: Column) -> Column:
 
 
 def drop_repeated_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, distinct_ids: bool = False
 ) -> DataFrame:
     """Drop lines whose key of at least ``min_chars`` code points is in at least
     ``min_docs`` documents, except in the document with the largest id that holds it.
@@ -29,11 +29,12 @@ def drop_repeated_lines(
 
     Null or empty text counts as one empty line and comes back as it was. Each row is one
     document; rows with the same id each count, and if theirs is the largest id, all of
-    them keep the line. A null id is less than any other, so a line is dropped from rows
+    them keep the line. With ``distinct_ids`` rows with the same id are one document and count
+    once, and rows without id don't count. A null id is less than any other, so a line is dropped from rows
     without id whenever a row with an id holds it; where only such rows hold it, it stays. An
     empty table gives an empty table. A line's hash has 128 bits.
 
-    Shuffles: one pre-aggregated row for each key and task; one row of 28 bytes for each
+    Shuffles: one pre-aggregated row for each key and task (with ``distinct_ids`` one for each key, id and task before); one row of 28 bytes for each
     long line; the text once, where documents lose lines and the set of those isn't small.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
@@ -41,7 +42,7 @@ def drop_repeated_lines(
     long_keys = F.array_distinct(F.filter(line_keys(text), lambda k: F.char_length(k) >= min_chars))
     key = docs.select(F.col(f"`{id_col}`").alias("d"), F.explode(long_keys).alias("k"))
     h1, h2 = hash_pair(F.col("k"))
-    counts = key.select("d", h1.alias("h1"), h2.alias("h2")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("keep"))
+    counts = key.select("d", h1.alias("h1"), h2.alias("h2")).groupBy("h1", "h2").agg((F.count_distinct("d") if distinct_ids else F.count(F.lit(1))).alias("n"), F.max("d").alias("keep"))
     frequent = materialise(counts.where(F.col("n") >= min_docs).select("h1", "h2", "keep"), "lines")
 
     r1, r2 = hash_pair(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))

@@ -49,7 +49,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), distinct_ids=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
