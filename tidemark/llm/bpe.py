@@ -2,7 +2,8 @@
 
 Texts are split into the words that the tokenizer never merges across. Words are counted
 over the corpus; each distinct word of the table is encoded once, and its ids come back to
-each of its positions. Decoding joins each id with its piece.
+each of its positions. Decoding looks each id up in an
+array of pieces.
 """
 
 from __future__ import annotations
