@@ -10,6 +10,7 @@ their rank within their length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -25,48 +26,63 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .ranks import piece_encoder
 
 #: Words that a worker remembers at most before it forgets all of them.
 REMEMBERED = 400_000
-#: A letter, and the punctuation after it up to the end of a chunk: always two words.
-_TAIL = re.compile(rb"(?<=[a-z])([,.!?;:#*$%&|<>]+)(?=[ \t\n\v\f\r]|$)")
-
-
-class ChunkEncoder:
-    """Ids of whole texts under a tokenizer that drops white space and never joins over it.
-
-    A text is cut at ASCII white space and before punctuation that ends a chunk, where such
-    a tokenizer always ends a word, and the ids of each chunk are remembered: equal to
-    encoding the text at once. A-Z are lower-cased first, as the tokenizer does anyway.
+#: Fixed value: the published splitting pattern of the tokenizer, for words of ``_PLAIN``.
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Words of printing ASCII and Latin letters: no form of theirs is composed anew.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: What the file must say for ids to be put together here.
+_SAID = ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", ["NFC", "Replace", "Lowercase"])
+
+
+class ChunkEncoder(dict):
+    """Ids of whole texts under a tokenizer that lower-cases, drops white space and never
+    joins over it: a dictionary that encodes a word of the text when first asked for it.
+
+    A text is cut at ASCII white space; what stands between is encoded once and remembered:
+    equal to encoding the text at once. A-Z are lower-cased first, as the tokenizer does
+    anyway. Words outside ``_PLAIN`` or with a special token in them go to the library.
+    A file whose normaliser or splitting is another raises ValueError.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        split = (said["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        norm = (said["normalizer"] or {}).get("normalizers") or []
+        if (split[0].get("pattern", {}).get("Regex"), [x["type"] for x in norm]) != _SAID:
+            raise ValueError(f"texts can't be encoded word by word under {path}")
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.special = [x.content.encode().lower() for x in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        self.one = piece_encoder(path)
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.one and _PLAIN.fullmatch(text) and not any(x in word.lower() for x in self.special):
+            ids = [i for piece in _SPLIT.findall(text.lower()) for i in self.one(piece.encode())]
+        else:
+            ids = self.tok.encode(text, add_special_tokens=False).ids
+        if len(self) >= REMEMBERED:
+            self.clear()
+        got = self[word] = pack_ids(f"<{len(ids)}I", *ids)
+        return got
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         raw = (text or "").encode("utf-8", "replace")
         low = raw.lower()
         # A special token's own text must reach the tokenizer as it is.
-        chunks = raw.split() if any(x in low for x in self.special) else _TAIL.sub(rb" \1", low).split()
-        known = self.known
-        new = list(set(chunks).difference(known))
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(chunks))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for chunk, e in zip(part, self.tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                    known[chunk] = pack_ids(f"<{len(e.ids)}I", *e.ids)
-        return b"".join(map(known.__getitem__, chunks))
+        words = raw.split() if any(x in low for x in self.special) else low.split()
+        return b"".join(map(self.__getitem__, words))
 
 
 @cache
