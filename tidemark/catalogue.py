@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import features
 from .functions import indicators as ind
 from .operators import accounting, cost, ledger, metrics, risk, strategy
-from .plans import fold, grids, sweep, validation, walkforward
+from .plans import experiment, fold, grids, sweep, validation, walkforward
 from .schema import seed_column
 from .sources import panels, snapshots
+from .storage import driver_table, shared_dir, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,10 +60,10 @@ S = panel_sql("c_mktsegment", "quarter", "o_orderdate", "o_totalprice", "1", "or
 R = panel_sql("r_name", "quarter", "o_orderdate", "o_totalprice", "1", "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderdate < '2001-07-01'")
 M = panel_sql("o_orderpriority", "month", "o_orderdate", "o_totalprice", "1", "orders")
 PANELS = {"ptype_month": (panels.ptype_month, P), "event_day": (panels.event_day, E), "segment_quarter": (panels.segment_quarter, S), "region_quarter": (panels.region_quarter, R)}
-_ROUND_BARS = "SELECT instrument_id, ts_utc, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM bars"
+_ROUND_BARS = "SELECT instrument_id, ts_utc, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 8) AS volume FROM bars"
 
 for _name, (_make, _sql) in PANELS.items():
-    register(f"s01_bars_{_name}", f"WITH {_sql} {_ROUND_BARS}")(lambda spark, d, make=_make: rounded(make(spark, d)))
+    register(f"s01_bars_{_name}", f"WITH {_sql} {_ROUND_BARS}")(lambda spark, d, make=_make: rounded(make(spark, d), 8))
 
 
 @register(
@@ -95,16 +97,22 @@ def s09(spark, d):
     "s08_snapshot_hash",
     f"""WITH {P}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts_utc) AS rn FROM bars),
 l AS (SELECT instrument_id, (rn - 1) // 10000 AS block, rn, concat_ws('|', instrument_id, strftime(ts_utc, '%Y-%m-%dT%H:%M:%SZ'), format('{{:.4f}}', open), format('{{:.4f}}', high), format('{{:.4f}}', low), format('{{:.4f}}', close), format('{{:.4f}}', volume)) AS line FROM n),
-h AS (SELECT instrument_id, block, sha256(string_agg(line, chr(10) ORDER BY rn)) AS x FROM l GROUP BY 1, 2)
-SELECT sha256(string_agg(x, '' ORDER BY instrument_id, block)) AS snapshot_hash FROM h""",
+h1 AS (SELECT instrument_id, block, sha256(string_agg(line, chr(10) ORDER BY rn)) AS x FROM l GROUP BY 1, 2),
+h2 AS (SELECT instrument_id, block // 10000 AS block, sha256(string_agg(x, '' ORDER BY block)) AS x FROM h1 GROUP BY 1, 2),
+h3 AS (SELECT instrument_id, sha256(string_agg(x, '' ORDER BY block)) AS x FROM h2 GROUP BY 1),
+i AS (SELECT 0 AS part, instrument_id, sha256(concat_ws('|', instrument_id, instrument_id, 'USD', 'EQUITY', '1.0000', '0.0100', 'NA')) AS x FROM h3 UNION ALL SELECT 1, instrument_id, x FROM h3),
+o AS (SELECT x, row_number() OVER (ORDER BY part, instrument_id) - 1 AS rn FROM i),
+h4 AS (SELECT rn // 10000 AS block, sha256(string_agg(x, '' ORDER BY rn)) AS x FROM o GROUP BY 1)
+SELECT sha256(string_agg(x, '' ORDER BY block)) AS snapshot_hash FROM h4""",
 )
 def s08(spark, d):
-    return snapshots.content_hash(panels.ptype_month(spark, d), places=4)
+    bars = stage(panels.ptype_month(spark, d), "bars")
+    return snapshots.content_hash(bars, places=4, instruments=snapshots.default_instruments(bars))
 
 
 @register("s11_bars_fetch", f"WITH {P} {_ROUND_BARS} WHERE instrument_id IN ('ECONOMY', 'PROMO') AND ts_utc BETWEEN '1997-01-01' AND '1997-12-01'")
 def s11(spark, d):
-    return rounded(snapshots.fetch(panels.ptype_month(spark, d), ["ECONOMY", "PROMO"], "1997-01-01", "1997-12-01"))
+    return rounded(snapshots.fetch(panels.ptype_month(spark, d), ["ECONOMY", "PROMO"], "1997-01-01", "1997-12-01"), 8)
 
 
 # Indicators -----------------------------------------------------------------------------------
@@ -116,11 +124,11 @@ def _over(n: int) -> str:
     return f"OVER (PARTITION BY instrument_id ORDER BY ts_utc ROWS {n - 1} PRECEDING)"
 
 
-def indicator(name: str, build, cols: list[str], sql: str, panel: str = "ptype_month"):
+def indicator(name: str, build, cols: list[str], sql: str, panel: str = "ptype_month", places: int = 6):
     make, bars = PANELS[panel]
-    rounds = ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+    rounds = ", ".join(f"round({c}, {places}) AS {c}" for c in cols)
     register(name, f"WITH {bars}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts_utc) AS rn FROM bars), x AS ({sql}) SELECT instrument_id, ts_utc, {rounds} FROM x")(
-        lambda spark, d: rounded(build(make(spark, d)).select("instrument_id", "ts_utc", *cols))
+        lambda spark, d: rounded(build(make(spark, d)).select("instrument_id", "ts_utc", *cols), places)
     )
 
 
@@ -149,7 +157,7 @@ indicator(
 )
 indicator(
     "t_donchian", lambda b: ind.donchian(b, 6, "dc"), ["dc_high", "dc_mid", "dc_low"],
-    f"SELECT *, {masked(6, 'h', 'dc_high')}, {masked(6, '(h + l) / 2', 'dc_mid')}, {masked(6, 'l', 'dc_low')} FROM (SELECT *, max(high) {_over(6)} AS h, min(low) {_over(6)} AS l FROM n)",
+    f"SELECT *, {masked(6, 'h', 'dc_high')}, {masked(6, '(h + l) / 2', 'dc_mid')}, {masked(6, 'l', 'dc_low')} FROM (SELECT *, max(high) {_over(6)} AS h, min(low) {_over(6)} AS l FROM n)", places=9,
 )
 indicator(
     "t_aroon", lambda b: ind.aroon(b, 6, "ar"), ["ar_up", "ar_dn", "ar_osc"],
@@ -249,7 +257,8 @@ def run_sql(by: str = "", bps: float = 5, fixed: float = 1, notional: float = 0,
     opens = "".join(f" UNION ALL SELECT NULL, TIMESTAMP '{start}', 'CASHFLOW', '{k}', 'BUY', {q}::DOUBLE, {opening.cost_basis[k]}::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, {q}::DOUBLE" for k, q in held.items())
     key = f"{by}instrument_id"
     return f"""
-d AS (SELECT {key}, ts_utc AS decision_ts, target - coalesce(lag(target) OVER w, {first}) AS delta, lead(open) OVER w AS o, lead(ts_utc) OVER w AS ts_utc FROM tg WINDOW w AS (PARTITION BY {key} ORDER BY ts_utc)),
+nx AS (SELECT {key}, ts_utc AS decision_ts, target, lead(open) OVER w AS o, lead(ts_utc) OVER w AS ts_utc FROM tg WINDOW w AS (PARTITION BY {key} ORDER BY ts_utc)),
+d AS (SELECT * EXCLUDE (target), target - coalesce(last_value(CASE WHEN o > 0 THEN target END IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY decision_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {first}) AS delta FROM nx),
 f AS (SELECT {by}decision_ts, ts_utc, 'FILL' AS event_type, instrument_id, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, abs(delta) AS qty, round(o * (1 + sign(delta) * {bps} / 20000.0), 8) AS price,
       {fixed}::DOUBLE + abs(delta) * o * (1 + sign(delta) * {bps} / 20000.0) * {notional} / 10000.0 AS fee, delta AS position_delta FROM d WHERE abs(delta) > 1.4901161193847656e-08 AND o > 0),
 ev0 AS (SELECT {by}decision_ts, ts_utc, event_type, instrument_id, side, qty, price, fee, -sign(position_delta) * qty * price - fee AS cash_delta, position_delta FROM f{opens}),
@@ -294,10 +303,17 @@ def finished(df: DataFrame) -> DataFrame:
 
 
 def single(spark, d, panel="ptype_month", opening=ledger.Opening(CASH), c=COST, qty=10.0, target=None):
+    """The panel with targets, written once, and its ledger."""
     x = crossover_panel(spark, d, panel, qty=qty)
     x = x if target is None else x.withColumn("target", target)
-    ev = ledger.events(ledger.fills(x, c, opening), "1995-03-01", opening)
-    return x, ev
+    x = stage(x.select("instrument_id", "ts_utc", "open", "close", "target"), "targets")
+    return x, ledger.events(ledger.fills(x, c, opening), "1995-03-01", opening)
+
+
+def booked(spark, d, *args, **kwargs):
+    """The panel and its matched legs, each written once: fills, trades and equity read these."""
+    x, ev = single(spark, d, *args, **kwargs)
+    return x, stage(accounting.matched_legs(ev), "legs")
 
 
 _EV = "ts_utc, event_type, instrument_id, side, round(qty, 6) AS qty, round(price, 6) AS price, round(fee, 4) AS fee, round(cash_delta, 4) AS cash_delta, round(position_delta, 6) AS position_delta, event_seq"
@@ -313,6 +329,13 @@ def b05(spark, d):
     return events_out(single(spark, d, c=cost.zero())[1])
 
 
+@register("b05_unfillable_opens", f"WITH {crossover_sql().replace('tg AS (SELECT *,', 'tg0 AS (SELECT *,')}, tg AS (SELECT * REPLACE (CASE WHEN month(ts_utc) IN (3, 4, 9) THEN 0 ELSE open END AS open) FROM tg0), {run_sql()} SELECT {_EV} FROM ev")
+def b05_unfillable(spark, d):
+    """Orders wait while opens of 0 can't fill them."""
+    x = crossover_panel(spark, d).withColumn("open", F.when(F.month("ts_utc").isin(3, 4, 9), 0.0).otherwise(F.col("open")))
+    return events_out(ledger.events(ledger.fills(stage(x, "targets"), COST, ledger.Opening(CASH)), None))
+
+
 @register("b07_cost_spread", f"WITH {crossover_sql()}, {run_sql(bps=25, fixed=0)} SELECT {_EV} FROM ev")
 def b07(spark, d):
     return events_out(single(spark, d, c=cost.spread_bps(25))[1])
@@ -375,25 +398,25 @@ _EQ = "ts_utc, round(cash, 4) AS cash, round(positions_value, 4) AS positions_va
 
 @register("b16_equity", f"WITH {crossover_sql()}, {_OPEN_SQL} SELECT {_EQ} FROM eq")
 def b16(spark, d):
-    x, ev = single(spark, d, opening=OPEN)
+    x, ev = booked(spark, d, opening=OPEN)
     return rounded(accounting.equity(x, ev, CASH), 4)
 
 
 @register("b16_unrealized", f"WITH {_FLIP_SQL}, {run_sql()} SELECT {_EQ} FROM eq")
 def b16_short(spark, d):
-    x, ev = single(spark, d, target=strategy.signal_map(_flips(), 3, 0, -2))
+    x, ev = booked(spark, d, target=strategy.signal_map(_flips(), 3, 0, -2))
     return rounded(accounting.equity(x, ev, CASH), 4)
 
 
 @register("b17_returns", f"WITH {crossover_sql()}, {_OPEN_SQL} SELECT ts_utc, round(equity, 4) AS equity, round(period_return, 8) AS period_return FROM rt")
 def b17(spark, d):
-    x, ev = single(spark, d, opening=OPEN)
+    x, ev = booked(spark, d, opening=OPEN)
     return accounting.period_returns(accounting.equity(x, ev, CASH)).select("ts_utc", F.round("equity", 4).alias("equity"), F.round("period_return", 8).alias("period_return"))
 
 
 @register("w07_drawdown", f"WITH {crossover_sql()}, {_OPEN_SQL} SELECT ts_utc, round(running_max, 4) AS running_max, round(drawdown, 8) AS drawdown FROM rt")
 def w07(spark, d):
-    x, ev = single(spark, d, opening=OPEN)
+    x, ev = booked(spark, d, opening=OPEN)
     return accounting.drawdown(accounting.equity(x, ev, CASH)).select("ts_utc", F.round("running_max", 4).alias("running_max"), F.round("drawdown", 8).alias("drawdown"))
 
 
@@ -409,13 +432,13 @@ def b05_unfilled(spark, d):
 
 @register("a12_metrics", f"WITH {crossover_sql()}, {_OPEN_SQL}, {metrics_sql()} SELECT * FROM me")
 def a12(spark, d):
-    x, ev = single(spark, d, opening=OPEN)
+    x, ev = booked(spark, d, opening=OPEN)
     return finished(metrics.metrics(accounting.equity(x, ev, CASH), accounting.trades(ev), MONTHLY))
 
 
 @register("a12_metrics_event_day", f"WITH {crossover_sql('event_day', qty=100.0)}, {run_sql()}, {metrics_sql(context=DAILY)} SELECT * FROM me")
 def a12_day(spark, d):
-    x, ev = single(spark, d, "event_day", qty=100.0)
+    x, ev = booked(spark, d, "event_day", qty=100.0)
     return finished(metrics.metrics(accounting.equity(x, ev, CASH), accounting.trades(ev), DAILY))
 
 
@@ -458,11 +481,17 @@ def sweep_of(spark, d) -> sweep.Sweep:
     return sweep.crossover(panels.ptype_month(spark, d), grid_table(spark), FAST, SLOW, COST, 10.0, ledger.Opening(CASH))
 
 
-@register("g01_grid", f"WITH {_GRID_SQL} SELECT candidate_id, candidate_row, fast, slow FROM g")
+@register("g01_grid", "SELECT 'f' || fast || '_s' || slow AS candidate_id, row_number() OVER (ORDER BY fast, slow)::INT AS candidate_row, fast, slow FROM unnest([2, 3, 4]) a(fast) CROSS JOIN unnest([6, 8, 10]) b(slow)")
 def g01(spark, d):
     return grid_table(spark)
 
 
+@register("g01_param_grid", "SELECT row_number() OVER (ORDER BY slow, fast)::INT AS candidate_row, fast, slow FROM range(2, 8) a(fast) CROSS JOIN range(4, 8) b(slow) WHERE fast < slow AND greatest(fast, 3) <= 6")
+def g01_param(spark, d):
+    grid = grids.param_grid("fast < slow and pmax(fast, 3) <= 6", fast=list(range(2, 8)), slow=list(range(4, 8)))
+    return grid.table(spark, {"fast": "long", "slow": "long"}).drop("candidate_id")
+
+
 @register("g03_sweep_metrics", f"WITH {_SWEEP_SQL}, {metrics_sql('candidate_id, ')} SELECT * FROM me")
 def g03(spark, d):
     return finished(sweep_of(spark, d).metrics(MONTHLY))
@@ -553,8 +582,11 @@ def _folds_sql(folds) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"({f.fold_seq}, '{f.scheme}', TIMESTAMP '{f.train_start}', TIMESTAMP '{f.train_end}', TIMESTAMP '{f.test_start}', TIMESTAMP '{f.test_end}')" for f in folds) + ") t(fold_seq, scheme, train_start, train_end, test_start, test_end)"
 
 
-register("v05_folds_rolling", _folds_sql(FOLDS))(lambda spark, d: walkforward.table(spark, FOLDS))
-register("v05_folds_anchored", _folds_sql(FOLDS_ANCHORED))(lambda spark, d: walkforward.table(spark, FOLDS_ANCHORED))
+_SERIES = """WITH s AS (SELECT k, TIMESTAMP '1995-03-01' + to_months((12 * k)::INT) AS b FROM range(20) t(k)),
+f AS (SELECT (k + 1)::INT AS fold_seq, '{scheme}' AS scheme, {start} AS train_start, b + INTERVAL 24 MONTH - INTERVAL 1 SECOND AS train_end, b + INTERVAL 24 MONTH AS test_start, b + INTERVAL 36 MONTH - INTERVAL 1 SECOND AS test_end FROM s)
+SELECT * FROM f WHERE test_end <= TIMESTAMP '2001-07-31'"""
+register("v05_folds_rolling", _SERIES.format(scheme="rolling", start="b"))(lambda spark, d: walkforward.table(spark, FOLDS))
+register("v05_folds_anchored", _SERIES.format(scheme="anchored", start="TIMESTAMP '1995-03-01'"))(lambda spark, d: walkforward.table(spark, FOLDS_ANCHORED))
 
 _WF_BY = "fold_seq, window_, candidate_id, "
 _WF = f"""{P}, {_GRID_SQL}, fo AS ({_folds_sql(FOLDS)}), wi AS (SELECT fold_seq, 'train' AS window_, train_start AS lo, train_end AS hi FROM fo UNION ALL SELECT fold_seq, 'test', test_start, test_end FROM fo),
@@ -642,3 +674,226 @@ def fold_state_prev(spark, d):
 def fold_failed(spark, d):
     grid = grids.grid_named(good={"qty": 1}, bad={"other": 1})
     return fold.fold_sweep(panels.event_day(spark, d), grid, _alternate, COST, opening=ledger.Opening(CASH)).select("candidate_id", "status").distinct()
+
+
+# Strategies that read equity, in SQL: one recursive step for each pulse -----------------------
+
+
+def _walked_sql(bars: str, grid: str, own: str, goal: str, r: str = "0") -> str:
+    """CTEs to ``tg``: bars, then positions and cash pulse by pulse; ``goal`` gives a target from
+    ``close``, ``equity``, ``r`` (an expression over the bars) and ``own``, the columns of grid ``g``."""
+    return f"""{bars}, {grid},
+nb AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY ts_utc) AS t, lead(open) OVER (PARTITION BY instrument_id ORDER BY ts_utc) AS nxt, {r} AS r FROM bars),
+wk AS (
+  SELECT candidate_id, {own}, instrument_id, 0::BIGINT AS t, 0.0::DOUBLE AS pos, {CASH}::DOUBLE AS cash, 0.0::DOUBLE AS target FROM (SELECT DISTINCT instrument_id FROM nb) CROSS JOIN g
+  UNION ALL
+  SELECT candidate_id, {own}, instrument_id, t, pos + delta, cash + coalesce(sum(CASE WHEN delta <> 0 THEN -delta * round(nxt * (1 + sign(delta) * 5 / 20000.0), 8) - 1 ELSE 0 END) OVER (PARTITION BY candidate_id), 0), target FROM (
+    SELECT *, CASE WHEN nxt > 0 AND abs(target - pos) > 1.4901161193847656e-08 THEN target - pos ELSE 0 END AS delta FROM (
+      SELECT *, ({goal})::DOUBLE AS target FROM (
+        SELECT candidate_id, {own}, wk.instrument_id, nb.t, wk.pos, wk.cash, nb.close, nb.nxt, nb.r, wk.cash + sum(wk.pos * nb.close) OVER (PARTITION BY candidate_id) AS equity
+        FROM wk JOIN nb ON nb.instrument_id = wk.instrument_id AND nb.t = wk.t + 1)))),
+tg AS (SELECT candidate_id, nb.instrument_id, nb.ts_utc, open, close, target FROM wk JOIN nb USING (instrument_id, t))"""
+
+
+#: A limit of weights isn't defined for negative equity: such a candidate fails and has one row.
+_BROKEN = "bk AS (SELECT candidate_id FROM eq GROUP BY 1 HAVING min(equity) < 0)"
+_WALKED_OUT = f"SELECT candidate_id, 'DONE' AS status, n_events, {_EQ.replace(', 4)', ', 3)')} FROM eq JOIN (SELECT candidate_id, count(*) AS n_events FROM ev GROUP BY 1) USING (candidate_id)"
+SQL["fold_max_weight"] = (
+    "WITH RECURSIVE "
+    + _walked_sql(P, "g(candidate_id, step, w) AS (VALUES ('small', 1, 0.05), ('large', 50, 0.2))", "step, w", "least(100.0 + step, w * equity / close)")
+    + f", {run_sql('candidate_id, ')}, {_BROKEN} {_WALKED_OUT} WHERE candidate_id NOT IN (FROM bk) UNION ALL SELECT candidate_id, 'FAILED', 0, NULL, NULL, NULL, NULL, NULL, NULL FROM bk"
+)
+_TOP = "row_number() OVER (PARTITION BY candidate_id ORDER BY r DESC NULLS LAST, instrument_id) <= top"
+SQL["fold_rebalance"] = (
+    "WITH RECURSIVE "
+    + _walked_sql(
+        P, "g(candidate_id, top) AS (VALUES ('top1', 1), ('top3', 3))", "top",
+        f"CASE WHEN r IS NOT NULL AND {_TOP} THEN greatest(0, floor(1.0 / least(top, count(r) OVER (PARTITION BY candidate_id)) * 0.9 * equity / close)) ELSE 0 END",
+        "close / lag(close, 3) OVER (PARTITION BY instrument_id ORDER BY ts_utc) - 1",
+    )
+    + f", {run_sql('candidate_id, ')} {_WALKED_OUT}"
+)
+
+
+# Features -------------------------------------------------------------------------------------
+
+_MAP = {"fast": features.sma(3), "slow": features.sma(8), "change": features.returns(2)}
+
+
+@register("b25_feature_contracts", "SELECT * FROM (VALUES ('fast', 'sma_3', 'builtin', 3, 3), ('slow', 'sma_8', 'builtin', 8, 8), ('change', 'return_2', 'builtin', 3, 3)) t(alias, feature_id, source, requires_bars, stable_after)")
+def b25(spark, d):
+    return features.contracts(spark, _MAP)
+
+
+@register(
+    "b25_contract_check",
+    f"WITH {M}, i AS (SELECT DISTINCT instrument_id FROM bars UNION ALL SELECT 'NONE'), c AS (SELECT i.instrument_id, count(b.ts_utc) AS available_bars FROM i LEFT JOIN bars b USING (instrument_id) GROUP BY 1), f(alias, feature_id, source, requires_bars, stable_after) AS (VALUES ('fast', 'sma_3', 'builtin', 3, 3), ('long', 'sma_90', 'builtin', 90, 90)) SELECT alias, instrument_id, feature_id, source, requires_bars, stable_after, available_bars, available_bars >= stable_after AS warmup_achievable FROM c CROSS JOIN f",
+)
+def b25_check(spark, d):
+    bars = stage(panels.priority_month(spark, d), "bars")
+    ids = bars.select("instrument_id").distinct().unionByName(driver_table(spark, [("NONE",)], "instrument_id string"))
+    return features.contract_check(ids, bars, {"fast": features.sma(3), "long": features.sma(90)})
+
+
+_FEATURES_SQL = f"n AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts_utc) AS rn FROM bars), x AS (SELECT *, {masked(3, f'avg(close) {_over(3)}', 'sma_3')}, {masked(8, f'avg(close) {_over(8)}', 'sma_8')}, close / lag(close, 2) OVER w - 1 AS return_2 FROM n {_W})"
+
+
+@register(
+    "p13_alias_feature_rows",
+    f"WITH {E}, {_FEATURES_SQL}, l AS (SELECT ts_utc, instrument_id, unnest(['sma_3', 'sma_8', 'sma_8', 'return_2']) AS feature_id, unnest(['fast', 'slow', 'again', 'change']) AS alias, unnest([sma_3, sma_8, sma_8, return_2]) AS feature_value FROM x WHERE ts_utc = (SELECT min(ts_utc) + INTERVAL 9 DAY FROM x)) SELECT ts_utc, instrument_id, feature_id, round(feature_value, 6) AS feature_value, alias FROM l",
+)
+def p13(spark, d):
+    """Features of one pulse under the names of a map, two of them for one feature."""
+    x = features.compute(panels.event_day(spark, d), _MAP)
+    first = panels.event_day(spark, d).agg(F.min("ts_utc").alias("t")).first().t
+    pulse = features.pulse_snapshot(x, first + walkforward.timedelta(days=9))
+    return rounded(features.feature_rows(pulse, ["sma_3", "sma_8", "return_2"], {"fast": "sma_3", "slow": "sma_8", "again": "sma_8", "change": "return_2"}))
+
+
+@register("s12_csv_indicator", f"WITH {E} SELECT instrument_id, ts_utc, round(CASE WHEN day(ts_utc) % 2 = 0 THEN close * 2 END, 6) AS v FROM bars")
+def s12(spark, d):
+    """Values of every other day from a CSV that this query writes first."""
+    bars = stage(panels.event_day(spark, d), "bars")
+    path = f"{shared_dir(spark)}/csv-{walkforward.sha256(d)[:12]}"
+    at = F.date_format("ts_utc", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts_utc")
+    bars.where("day(ts_utc) % 2 = 0").select("instrument_id", at, (F.col("close") * 2).alias("doubled")).write.mode("overwrite").csv(path, header=True)
+    v = features.from_csv(spark, path, "doubled", "v")
+    return rounded(features.compute(bars, [v]).select("instrument_id", "ts_utc", "v"))
+
+
+@register("a21_unique_features", "SELECT * FROM (VALUES ('return_1'), ('sma_2'), ('sma_3'), ('sma_4'), ('sma_6'), ('sma_8'), ('sma_10')) t(feature_id)")
+def a21(spark, d):
+    """The distinct features of all candidates of a grid, by fingerprint."""
+    declared = {"fast": features.declare("sma", features.Param("fast")), "slow": features.declare("sma", features.Param("slow")), "change": features.returns(1)}
+    todo = features.unique(i for c in GRID for i in features.materialise(declared, c.params).values())
+    return driver_table(spark, [(i.id,) for i in todo], "feature_id string")
+
+
+def declared_sweep(spark, d) -> sweep.Sweep:
+    """The sweep of the catalogue with features that each candidate declares, computed once."""
+    declared = {"fast": features.declare("sma", features.Param("fast")), "slow": features.declare("sma", features.Param("slow"))}
+    pre = features.precompute(panels.ptype_month(spark, d), GRID, declared)
+    return sweep.run(pre.panel, grid_table(spark), strategy.sma_crossover(pre.pick("fast"), pre.pick("slow"), 10.0), COST, ledger.Opening(CASH))
+
+
+@register("b23_precomputed_sweep", f"WITH {_SWEEP_SQL}, {metrics_sql('candidate_id, ')} SELECT * FROM me")
+def b23(spark, d):
+    return finished(declared_sweep(spark, d).metrics(MONTHLY))
+
+
+@register(
+    "b23_warmup",
+    f"WITH {P}, {_GRID_SQL}, f AS (SELECT candidate_id, unnest([fast, slow]) AS n FROM g), s AS (SELECT instrument_id, count(*) FILTER (ts_utc <= '1995-09-01') AS available_bars FROM bars GROUP BY 1) SELECT candidate_id, instrument_id, 'sma_' || n AS feature_id, n AS stable_after, available_bars, available_bars >= n AS warmup_achievable FROM f CROSS JOIN s",
+)
+def b23_warmup(spark, d):
+    declared = {"fast": features.declare("sma", features.Param("fast")), "slow": features.declare("sma", features.Param("slow"))}
+    return features.precompute(panels.ptype_month(spark, d), GRID, declared).warmup("1995-09-01")
+
+
+def _range_by_rows(bars, params):
+    return (bars["high"] - bars["low"]).rolling(params["n"]).max()
+
+
+@register("udf_series_indicator", f"WITH {P}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts_utc) AS rn FROM bars), x AS (SELECT *, {masked(4, f'max(high - low) {_over(4)}', 'widest')}, {masked(3, f'max(close) {_over(3)}', 'top')} FROM n) SELECT instrument_id, ts_utc, round(widest, 6) AS widest, round(top, 6) AS top FROM x")
+def udf_series(spark, d):
+    """A user's indicators: one by whole series, one by windows."""
+    mine = [features.Indicator("widest", 4, params={"n": 4}, series_fn=_range_by_rows), features.Indicator("top", 3, fn=lambda window: window["close"].max())]
+    return rounded(features.compute(panels.ptype_month(spark, d), mine).select("instrument_id", "ts_utc", "widest", "top"))
+
+
+indicator(
+    "t_atr_outputs", lambda b: features.compute(b, {"a": features.ttr("ATR", "tr", n=5, id="tr"), "b": features.ttr("ATR", "trueHigh", n=5, id="hi"), "c": features.ttr("ATR", "trueLow", n=5, id="lo")}), ["tr", "hi", "lo"],
+    f"SELECT *, {masked(6, 'greatest(high, p) - least(low, p)', 'tr')}, {masked(6, 'greatest(high, p)', 'hi')}, {masked(6, 'least(low, p)', 'lo')} FROM (SELECT *, lag(close) OVER w AS p FROM n {_W})", places=8,
+)
+recursive(
+    "t_macd_points", {"macd": ("macd", 3, 6, 4, False), "signal": ("macd_signal", 3, 6, 4, False)},
+    _smooth_sql("f", "c", 3, "0.5", 3) + ", " + _smooth_sql("s", "c", 6, "(2.0 / 7)", 6) + ", m AS MATERIALIZED (SELECT instrument_id, rn, f.v - s.v AS v FROM f JOIN s USING (instrument_id, rn)), " + _smooth_sql("g", "m", 4, "0.4", 9),
+    "SELECT n.*, m.v AS macd, g.v AS signal FROM n LEFT JOIN m USING (instrument_id, rn) LEFT JOIN g USING (instrument_id, rn)",
+)
+
+
+# Cadence, seals and stores --------------------------------------------------------------------
+
+
+@register(
+    "w06_cadences",
+    "WITH s(step) AS (VALUES (60), (330), (900), (3600), (80000), (604800), (7200)), t AS (SELECT step, TIMESTAMP '2020-01-01' + to_seconds(step * k) AS ts FROM s CROSS JOIN range(5) r(k)), g AS (SELECT step, date_diff('second', lag(ts) OVER (PARTITION BY step ORDER BY ts), ts) AS gap FROM t), m AS (SELECT step, median(gap) AS median_gap FROM g GROUP BY 1), c(s, n) AS (VALUES (60, 525600), (300, 105120), (900, 35040), (3600, 8760), (86400, 252), (604800, 52)) SELECT step, median_gap, coalesce((SELECT n FROM c WHERE abs(median_gap / s - 1) <= 0.2 ORDER BY s LIMIT 1), 252) AS bars_per_year FROM m",
+)
+def w06_all(spark, d):
+    """Every cadence of the table, one a tenth off, one out of all of them."""
+    steps = driver_table(spark, [(s,) for s in (60, 330, 900, 3600, 80000, 604800, 7200)], "step int")
+    x = spark.range(5).join(steps, how="cross").select("step", (F.lit("2020-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") * F.col("step"))).alias("ts_utc"))
+    return metrics.cadence(x, ("step",))
+
+
+@register(
+    "s07_seal_violations",
+    f"""WITH {P}, b AS (SELECT instrument_id, CASE WHEN month(ts_utc) = 5 THEN ts_utc + INTERVAL 1 MILLISECOND ELSE ts_utc END AS ts_utc, open, CASE WHEN month(ts_utc) = 3 THEN low - 1 ELSE high END AS high, low, CASE WHEN month(ts_utc) = 7 THEN NULL ELSE close END AS close FROM bars
+UNION ALL SELECT instrument_id, ts_utc, open, high, low, close FROM bars WHERE month(ts_utc) = 9)
+SELECT 'duplicate' AS kind, (SELECT count(*) FROM (SELECT 1 FROM b GROUP BY instrument_id, ts_utc HAVING count(*) > 1)) AS n
+UNION ALL SELECT 'not_finite', count(*) FROM b WHERE close IS NULL UNION ALL SELECT 'ohlc', count(*) FROM b WHERE close IS NOT NULL AND (high < greatest(open, low, close) OR low > least(open, high, close))
+UNION ALL SELECT 'sub_second', count(*) FROM b WHERE date_trunc('second', ts_utc) <> ts_utc""",
+)
+def s07_seal(spark, d):
+    """What sealing counts, on bars that break each rule."""
+    b = stage(panels.ptype_month(spark, d), "bars")
+    m = F.month("ts_utc")
+    bad = b.withColumns({"high": F.when(m == 3, F.col("low") - 1).otherwise(F.col("high")), "close": F.when(m != 7, F.col("close")), "ts_utc": F.when(m == 5, F.col("ts_utc") + F.expr("interval 1 millisecond")).otherwise(F.col("ts_utc"))})
+    got = snapshots.violations(bad.unionByName(b.where(m == 9)))
+    return spark.createDataFrame(sorted(got.items()), "kind string, n long")
+
+
+def _stored(spark, d) -> experiment.RunStore:
+    """Two runs of the crossover, in a store of this call."""
+    store = experiment.RunStore(spark, f"{shared_dir(spark)}/runs-{walkforward.sha256([d, walkforward.datetime.now().isoformat()])[:16]}")
+    x = stage(crossover_panel(spark, d), "panel")
+    for qty, name in ((10.0, "ten"), (20.0, "twenty")):
+        store.run(experiment.Experiment(x, strategy.sma_crossover(F.col("fast"), F.col("slow"), qty), COST, opening=ledger.Opening(CASH)), run_id=name)
+    store.tag("ten", "small", "first")
+    return store
+
+
+_LIST_SQL = lambda q, tags: f"(WITH {crossover_sql(qty=q)}, {run_sql()} SELECT '{tags[0]}' AS run_id, 'DONE' AS status, (SELECT count(*) FROM rt) AS n_pulses, (SELECT count(*) FROM ev) AS n_events, (SELECT count(*) FROM fl WHERE action = 'CLOSE') AS n_trades, (SELECT round(last(equity ORDER BY ts_utc), 4) FROM rt) AS final_equity, (SELECT round(min(drawdown), 6) FROM rt) AS max_drawdown, '{tags[1]}' AS tags_text)"
+
+
+@register("a19_run_list", "SELECT * FROM " + _LIST_SQL(10.0, ("ten", "first, small")) + " UNION ALL SELECT * FROM " + _LIST_SQL(20.0, ("twenty", "")))
+def a19(spark, d):
+    """The list of a run store, with statistics and tags (J5, A19, A20)."""
+    x = _stored(spark, d).list()
+    return x.select("run_id", "status", "n_pulses", "n_events", "n_trades", F.round("final_equity", 4).alias("final_equity"), F.round("max_drawdown", 6).alias("max_drawdown"), "tags_text")
+
+
+@register("a02_sweep_list", "SELECT 'nine' AS sweep_id, (SELECT count(*) FROM range(3) CROSS JOIN range(3)) + 2 AS n_candidates, (SELECT count(*) FROM range(3) CROSS JOIN range(3)) AS n_done, 2::BIGINT AS n_failed")
+def a02(spark, d):
+    store = experiment.RunStore(spark, f"{shared_dir(spark)}/sweeps-{walkforward.sha256([d, walkforward.datetime.now().isoformat()])[:16]}")
+    failed = spark.createDataFrame([("x", "no"), ("y", "no")], "candidate_id string, error string")
+    store.save_sweep(sweep_of(spark, d), "nine", MONTHLY, failed)
+    return store.sweeps().select("sweep_id", "n_candidates", "n_done", "n_failed")
+
+
+@register("g07_returns_panel", f"WITH {_SWEEP_SQL} SELECT candidate_id, ts_utc, round(period_return, 8) AS period_return FROM rt WHERE period_return IS NOT NULL")
+def g07_panel(spark, d):
+    return sweep.returns_panel(sweep_of(spark, d).returns()).select("candidate_id", "ts_utc", F.round("period_return", 8).alias("period_return"))
+
+
+# Walk-forward with one tested candidate -------------------------------------------------------
+
+
+def walked(spark, d, policy: str) -> walkforward.Session:
+    """The walk-forward evaluation of the catalogue's grid."""
+    x = sweep.with_features(panels.ptype_month(spark, d), {f"sma_{n}": (lambda df, o, n=n: ind.sma(df, n, o)) for n in FAST + SLOW})
+    pick = lambda p, ns: F.coalesce(*[F.when(F.col(p) == n, F.col(f"sma_{n}")) for n in ns])
+    target = strategy.sma_crossover(pick("fast", FAST), pick("slow", SLOW), 10.0)
+    return walkforward.walk_forward(x, GRID, {"fast": "int", "slow": "int"}, target, COST, FOLDS, "sharpe", MONTHLY, ledger.Opening(CASH), policy=policy)
+
+
+@register("v06_flat_tests", f"WITH {_WF}, {_SEL} SELECT me.* RENAME (window_ AS \"window\") FROM me JOIN se USING (fold_seq, candidate_id) WHERE window_ = 'test'")
+def v06_flat(spark, d):
+    """Scores of the test windows of what training selects, each from the opening state."""
+    return finished(walked(spark, d, "flat_test_state").scores.where("window = 'test'"))
+
+
+@register("v06_carried")
+def v06_carried(spark, d):
+    """The same with state carried from test window to test window."""
+    return finished(walked(spark, d, "carry_test_state").scores.where("window = 'test'"))

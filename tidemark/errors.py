@@ -25,6 +25,10 @@ class InvalidConfig(TidemarkError):
     """Arguments that can't make an experiment, a grid, a cost or a risk chain."""
 
 
+class InvalidFeature(TidemarkError):
+    """Values of an indicator that aren't finite after warm-up, or too few of them."""
+
+
 class UnknownFeature(TidemarkError):
     """A feature id or alias that the run doesn't have."""
 

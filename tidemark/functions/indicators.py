@@ -103,6 +103,13 @@ def aroon(df: DataFrame, n: int, prefix: str, by=SERIES) -> DataFrame:
     return x.withColumns({f"{prefix}_up": _after(n, up, by), f"{prefix}_dn": _after(n, dn, by), f"{prefix}_osc": _after(n, up - dn, by)}).drop("_rn")
 
 
+def true_range(df: DataFrame, prefix: str, by=SERIES) -> DataFrame:
+    """The range with the close before in it: tr, high, low; null on a series' first bar."""
+    was = F.lag("close").over(series(by))
+    hi, lo = F.when(was.isNotNull(), F.greatest("high", was)), F.when(was.isNotNull(), F.least("low", was))
+    return df.withColumns({f"{prefix}_tr": hi - lo, f"{prefix}_high": hi, f"{prefix}_low": lo})
+
+
 def mfi(df: DataFrame, n: int, out: str, by=SERIES) -> DataFrame:
     """Money flow index: flows that rose against flows that fell."""
     x = df.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
@@ -143,7 +150,8 @@ def recursive(df: DataFrame, columns: dict[str, tuple], by=SERIES) -> DataFrame:
     """Recursive indicators, each series in one grouped pandas call, which no window can express.
 
     ``columns`` maps an output to ("ema", n), ("rsi", n), ("atr", n), ("macd", fast, slow, signal),
-    ("macd_signal", ...) or ("macd_histogram", ...). A series is the bars of one instrument, and only it must
+    ("macd_signal", ...) or ("macd_histogram", ...); a False after the periods of the last three gives
+    differences of prices instead of percents. A series is the bars of one instrument, and only it must
     fit a worker.
     """
     from pyspark.sql import types as T
@@ -191,13 +199,13 @@ def _atr(pdf: pd.DataFrame, n: int) -> list:
     return smooth(tr, n, 1 / n)
 
 
-def _macd(pdf: pd.DataFrame, fast: int, slow: int, signal: int) -> list:
+def _macd(pdf: pd.DataFrame, fast: int, slow: int, signal: int, percent: bool = True) -> list:
     f, s = _ema(pdf, fast), _ema(pdf, slow)
-    return [None if a is None or b is None else 100 * (a / b - 1) for a, b in zip(f, s, strict=True)]
+    return [None if a is None or b is None else 100 * (a / b - 1) if percent else a - b for a, b in zip(f, s, strict=True)]
 
 
-def _macd_signal(pdf: pd.DataFrame, fast: int, slow: int, signal: int) -> list:
-    return smooth(_macd(pdf, fast, slow, signal), signal, 2 / (signal + 1))
+def _macd_signal(pdf: pd.DataFrame, fast: int, slow: int, signal: int, percent: bool = True) -> list:
+    return smooth(_macd(pdf, fast, slow, signal, percent), signal, 2 / (signal + 1))
 
 
 def _macd_histogram(pdf: pd.DataFrame, *args: int) -> list:

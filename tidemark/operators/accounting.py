@@ -1,21 +1,26 @@
 """FIFO lots, fills, trades and equity from the ledger, as relations.
 
 A close takes the oldest open quantity. In each book (long or short) opens and closes are
-intervals of cumulative quantity; a close is matched with the opens its interval overlaps.
-The join is on run, instrument and book, and each overlap is one part of one lot.
+intervals of cumulative quantity. Their ends, in one sorted series, cut the book into parts
+that belong to one open and one close each: matching is one sort of a book, not a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import TidemarkError
+
 #: Overlaps up to this are dust of double arithmetic.
 DUST = 1e-9
 
 
 def legs(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Closing and opening leg of each event, with its book and interval."""
+    """Closing and opening leg of each event, with its book and interval. ``first_leg`` marks
+    one leg of each event, for what counts once an event. Legs given are returned as they are."""
+    if "leg_qty" in events.columns:
+        return events
     key = (*by, "instrument_id")
     w = Window.partitionBy(*key).orderBy("event_seq")
     before = F.coalesce(F.sum("position_delta").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -25,30 +30,53 @@ def legs(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     buy = F.col("side") == "BUY"
     leg = lambda kind, q, book: F.struct(F.lit(kind).alias("action"), F.col(q).alias("leg_qty"), book.alias("book"))
     both = F.array(leg("CLOSE", "_close", F.when(buy, "S").otherwise("L")), leg("OPEN", "_open", F.when(buy, "L").otherwise("S")))
-    e = e.select("*", F.explode(F.filter(both, lambda x: x["leg_qty"] > DUST)).alias("_leg")).select(*events.columns, "_leg.*")
+    e = e.select("*", F.posexplode(F.filter(both, lambda x: x["leg_qty"] > DUST)).alias("_at", "_leg"))
+    e = e.select(*events.columns, (F.col("_at") == 0).alias("first_leg"), "_leg.*")
     u = Window.partitionBy(*key, "book", "action").orderBy("event_seq").rowsBetween(Window.unboundedPreceding, 0)
     return e.withColumn("hi", F.sum("leg_qty").over(u)).withColumn("lo", F.col("hi") - F.col("leg_qty"))
 
 
+def _parts(legs_: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Legs with the part of their book that ends where they end: ``matched`` (null where no
+    close takes it), and its open and close. From the far end of a book on, the open or close of a
+    part is the last one met."""
+    down = Window.partitionBy(*by, "instrument_id", "book").orderBy(F.desc("hi"))
+    so_far = down.rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda kind, c: F.last(F.when(F.col("action") == kind, F.col(c)), ignorenulls=True).over(so_far)
+    x = legs_.withColumns({"_o_seq": last("OPEN", "event_seq"), "_o_price": last("OPEN", "price"), "_c_seq": last("CLOSE", "event_seq"), "_c_price": last("CLOSE", "price")})
+    x = x.withColumns({"_c_ts": last("CLOSE", "ts_utc"), "_size": F.col("hi") - F.coalesce(F.lead("hi").over(down), F.lit(0.0))})
+    return x.withColumn("matched", F.when(F.col("_c_seq").isNotNull() & F.col("_o_seq").isNotNull() & (F.col("_size") > DUST), F.col("_size")))
+
+
+def _gain() -> Column:
+    gain = F.col("_c_price") - F.col("_o_price")
+    return F.col("matched") * F.when(F.col("book") == "L", gain).otherwise(-gain)
+
+
 def matches(legs_: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Parts of lots that closes take: event_seq of the close, quantity, prices, realized."""
-    key = (*by, "instrument_id", "book")
-    c = legs_.where("action = 'CLOSE'").select(*key, "event_seq", "ts_utc", F.col("price").alias("close_price"), F.col("lo").alias("c_lo"), F.col("hi").alias("c_hi"))
-    o = legs_.where("action = 'OPEN'").select(*key, F.col("event_seq").alias("open_seq"), F.col("price").alias("open_price"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"))
-    got = c.join(o, list(key)).where((F.col("o_lo") < F.col("c_hi")) & (F.col("o_hi") > F.col("c_lo")))
-    got = got.withColumn("matched", F.least("c_hi", "o_hi") - F.greatest("c_lo", "o_lo")).where(F.col("matched") > DUST)
-    gain = F.col("close_price") - F.col("open_price")
-    return got.withColumn("realized", F.col("matched") * F.when(F.col("book") == "L", gain).otherwise(-gain)).drop("c_lo", "c_hi", "o_lo", "o_hi")
+    """Parts of lots that closes take: event_seq and time of the close, quantity, prices, realized."""
+    x = _parts(legs(legs_, by), by).where("matched is not null")
+    return x.select(*by, "instrument_id", "book", F.col("_c_seq").alias("event_seq"), F.col("_c_ts").alias("ts_utc"), F.col("_c_price").alias("close_price"), F.col("_o_seq").alias("open_seq"), F.col("_o_price").alias("open_price"), "matched", _gain().alias("realized"))
+
+
+def matched_legs(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Legs with ``realized`` and ``cost`` (of the opens taken) on each closing one, from one
+    pass over the ledger; fills, trades and equity all start here, and take it instead of events."""
+    if "realized" in events.columns:
+        return events
+    out = legs(events, by)
+    x = _parts(out, by)
+    taken = Window.partitionBy(*by, "instrument_id", "book", "_c_seq")
+    closes = F.col("action") == "CLOSE"
+    of = lambda c: F.when(closes, F.coalesce(F.sum(c).over(taken), F.lit(0.0))).otherwise(0.0)
+    return x.withColumns({"realized": of(_gain()), "cost": of(F.col("matched") * F.col("_o_price"))}).select(*out.columns, "realized", "cost")
 
 
 def fill_rows(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One row for each leg, the CLOSE of a flip before its OPEN. ``realized_pnl`` is gross of
     fees; the whole fee stands on each leg of a flip, so take fee totals from the ledger."""
-    x = legs(events, by)
-    got = matches(x, by).groupBy(*by, "instrument_id", "event_seq").agg(F.sum("realized").alias("_r"))
-    out = x.join(got, [*by, "instrument_id", "event_seq"], "left").where("event_type = 'FILL'")
-    realized = F.when(F.col("action") == "CLOSE", F.coalesce("_r", F.lit(0.0))).otherwise(0.0)
-    return out.select(*by, "event_seq", "ts_utc", "instrument_id", "side", F.col("leg_qty").alias("qty"), "price", "fee", "action", realized.alias("realized_pnl"))
+    out = matched_legs(events, by).where("event_type = 'FILL'")
+    return out.select(*by, "event_seq", "ts_utc", "instrument_id", "side", F.col("leg_qty").alias("qty"), "price", "fee", "action", F.col("realized").alias("realized_pnl"))
 
 
 def trades(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -62,14 +90,11 @@ def equity(panel: DataFrame, events: DataFrame, cash: float, by: tuple[str, ...]
     at pulses, so running sums over the complete panel are exact.
     """
     key = (*by, "instrument_id")
-    x = legs(events, by)
-    opened = x.where("action = 'OPEN'").groupBy(*key, "ts_utc").agg(F.sum(F.col("leg_qty") * F.col("price") * F.when(F.col("book") == "L", 1).otherwise(-1)).alias("_b"))
-    m = matches(x, by)
-    closed = m.groupBy(*key, "ts_utc").agg(F.sum(-F.col("matched") * F.col("open_price") * F.when(F.col("book") == "L", 1).otherwise(-1)).alias("_b"), F.sum("realized").alias("_r"))
-    moves = events.groupBy(*key, "ts_utc").agg(F.sum("cash_delta").alias("_c"), F.sum("position_delta").alias("_p"), F.sum("fee").alias("_f"))
-    zero = F.lit(0.0)
-    parts = opened.withColumn("_r", zero).unionByName(closed).withColumns({"_c": zero, "_p": zero, "_f": zero})
-    parts = parts.unionByName(moves.withColumns({"_b": zero, "_r": zero})).groupBy(*key, "ts_utc").agg(*[F.sum(c).alias(c) for c in ("_c", "_p", "_f", "_b", "_r")])
+    x = matched_legs(events, by)
+    sign = F.when(F.col("book") == "L", 1).otherwise(-1)
+    basis = sign * F.when(F.col("action") == "OPEN", F.col("leg_qty") * F.col("price")).otherwise(-F.col("cost"))
+    once = lambda c: F.sum(F.when(F.col("first_leg"), F.col(c)).otherwise(0.0))
+    parts = x.groupBy(*key, "ts_utc").agg(once("cash_delta").alias("_c"), once("position_delta").alias("_p"), once("fee").alias("_f"), F.sum(basis).alias("_b"), F.sum("realized").alias("_r"))
     p = panel.select(*key, "ts_utc", "close").join(parts, [*key, "ts_utc"], "left")
     w = Window.partitionBy(*key).orderBy("ts_utc").rowsBetween(Window.unboundedPreceding, 0)
     p = p.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("_c", "_p", "_f", "_b", "_r")})
@@ -95,6 +120,16 @@ def drawdown(equity_: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return x.withColumn("drawdown", F.when(F.col("running_max") != 0, F.col("equity") / F.nullif(F.col("running_max"), F.lit(0.0)) - 1))
 
 
+def require_order(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``events``, or an error where event_seq isn't dense from 1 in a run or times go back."""
+    w = Window.partitionBy(*by, "instrument_id").orderBy("event_seq")
+    back = events.withColumn("_was", F.lag("ts_utc").over(w)).where("ts_utc < _was")
+    runs = events.groupBy(*by).agg(F.min("event_seq").alias("lo"), F.max("event_seq").alias("hi"), F.count(F.lit(1)).alias("n"), F.count_distinct("event_seq").alias("k"))
+    if not runs.where("n > 0 and (lo != 1 or hi != n or k != n)").isEmpty() or not back.isEmpty():
+        raise TidemarkError("events out of order")
+    return events
+
+
 def final_state(events: DataFrame, cash: float, by: tuple[str, ...] = (), asof=None) -> tuple[DataFrame, DataFrame]:
     """Positions and cash after all events, or after those up to ``asof``."""
     e = events if asof is None else events.where(F.col("ts_utc") <= F.lit(asof).cast("timestamp_ntz"))

@@ -6,8 +6,11 @@ It is also the independent form against which the window plan is tested.
 
 from __future__ import annotations
 
+import inspect
+import json
 import math
 import traceback
+import warnings
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -16,12 +19,15 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..errors import InvalidTarget, UnknownFeature
+from ..errors import CoverageError, InvalidTarget, UnknownFeature
 from ..operators.cost import Cost
 from ..operators.ledger import MIN_DELTA, Opening
 from ..operators.risk import Risk
+from ..operators.types import Selection, Signal, Target, Weights, unwrap
 from ..schema import canonical_json, derive_seed
+from ..storage import driver_table
 
 
 @dataclass
@@ -39,65 +45,119 @@ class Context:
     state_prev: Any = None
     aliases: dict[str, str] = field(default_factory=dict)
 
-    def bar(self, instrument: str) -> dict[str, float]:
-        return self.bars[instrument]
+    def _known(self, instrument: str) -> str:
+        if instrument not in self.bars:
+            raise InvalidTarget(f"{instrument} isn't in the universe: {', '.join(self.universe)}")
+        return instrument
 
-    def close(self, instrument: str) -> float:
-        return self.bars[instrument]["close"]
+    def bar(self, instrument: str) -> dict[str, float]:
+        return self.bars[self._known(instrument)]
 
     def open(self, instrument: str) -> float:
-        return self.bars[instrument]["open"]
+        return self.bar(instrument)["open"]
+
+    def high(self, instrument: str) -> float:
+        return self.bar(instrument)["high"]
+
+    def low(self, instrument: str) -> float:
+        return self.bar(instrument)["low"]
+
+    def close(self, instrument: str) -> float:
+        return self.bar(instrument)["close"]
 
     def volume(self, instrument: str) -> float:
-        return self.bars[instrument]["volume"]
+        return self.bar(instrument)["volume"]
 
     def position(self, instrument: str) -> float:
-        return self.positions[instrument]
+        return self.positions[self._known(instrument)]
 
-    def flat(self) -> dict[str, float]:
-        return dict.fromkeys(self.universe, 0.0)
+    def idx(self, instrument: str, missing: str = "error") -> int | None:
+        """The place of an instrument in the universe, from 0; None where it isn't in it, if asked."""
+        return None if missing == "none" and instrument not in self.bars else self.universe.index(self._known(instrument))
+
+    def flat(self, default: float = 0.0) -> dict[str, float]:
+        return dict.fromkeys(self.universe, float(default))
 
     def hold(self) -> dict[str, float]:
         return dict(self.positions)
 
+    def targets(self, *_: Any) -> None:
+        raise InvalidTarget("ctx.targets is gone: start from ctx.flat()")
+
+    def current_targets(self, *_: Any) -> None:
+        raise InvalidTarget("ctx.current_targets is gone: start from ctx.hold()")
+
     def feature(self, instrument: str, name: str, default: float | None = None) -> float | None:
+        known = self.features[self._known(instrument)]
         name = self.aliases.get(name, name)
-        if name not in self.features[instrument]:
-            raise UnknownFeature(f"{name}; known: {', '.join(self.features[instrument])}")
-        v = self.features[instrument][name]
+        if name not in known:
+            raise UnknownFeature(f"{name}; known: {', '.join(known)}")
+        v = known[name]
         return default if v is None else v
 
+    def features_of(self, instrument: str, names: dict[str, str] | None = None) -> dict[str, float | None]:
+        """All features of an instrument by alias: those of ``names`` (alias -> feature id), else
+        the run's own aliases, else feature ids."""
+        names = names or self.aliases or {k: k for k in self.features[self._known(instrument)]}
+        return {alias: self.feature(instrument, fid) for alias, fid in names.items()}
+
     def vec(self, name: str) -> np.ndarray:
         """A field or feature over the universe, in its order."""
         return np.array([self.bars[i][name] if name in self.bars[i] else np.nan if (v := self.feature(i, name)) is None else v for i in self.universe], float)
 
 
-def signal_return(ctx: Context, feature: str) -> dict[str, float | None]:
-    return {i: ctx.feature(i, feature) for i in ctx.universe}
+def signal_return(ctx: Context, feature: str) -> Signal:
+    return Signal({i: ctx.feature(i, feature) for i in ctx.universe}, ctx.universe, "signal_return")
 
 
-def select_top_n(signal: dict[str, float | None], n: int) -> list[str]:
-    known = [(i, v) for i, v in signal.items() if v is not None]
-    return [i for i, _ in sorted(known, key=lambda x: (-x[1], x[0]))[:n]]
+def passed_warmup(values: dict[str, float | None]) -> bool:
+    """Does every value of ``ctx.features_of`` exist?"""
+    return all(v is not None and v == v for v in values.values())
 
 
-def weight_equal(selected: list[str]) -> dict[str, float]:
-    return {i: 1 / len(selected) for i in selected} if selected else {}
+def select_top_n(signal: dict[str, float | None], n: int) -> Selection:
+    """The n largest of what is known, ties by instrument; with fewer, a warning and those."""
+    known = sorted(((i, v) for i, v in signal.items() if v is not None and v == v), key=lambda x: (-x[1], x[0]))
+    if 0 < len(known) < n:
+        warnings.warn(f"only {len(known)} of {n} instruments have a signal", stacklevel=2)
+    best = {i for i, _ in known[:n]}
+    return Selection({i: i in best for i in signal}, origin="select_top_n")
 
 
-def target_rebalance(weights: dict[str, float], ctx: Context, equity_fraction: float = 1.0) -> dict[str, float]:
-    """Whole quantities for weights of at least 0 that sum to 1 at most; 0 without a good price."""
+def weight_equal(selected: Selection | list[str]) -> Weights:
+    names = selected.chosen() if isinstance(selected, Selection) else list(selected)
+    return Weights({i: 1 / len(names) for i in names}, origin="weight_equal")
+
+
+def target_rebalance(weights: dict[str, float], ctx: Context, equity_fraction: float = 1.0) -> Target:
+    """Whole quantities for weights of at least 0 that sum to 1 at most; 0, and a warning, without
+    a good price."""
     if any(w < 0 for w in weights.values()) or sum(weights.values()) > 1 + 1e-9:
         raise InvalidTarget("weights must be at least 0 and sum to 1 at most")
+    if not 0 < equity_fraction <= 1:
+        raise InvalidTarget("equity_fraction must be over 0 and 1 at most")
     out = ctx.flat()
     for i, w in weights.items():
         p = ctx.close(i)
         if p > 0 and math.isfinite(p):
             out[i] = float(math.floor(w * equity_fraction * ctx.equity / p))
-    return out
+        else:
+            warnings.warn(f"no positive price for {i}", stacklevel=2)
+    return Target(out, ctx.universe, "target_rebalance")
+
+
+def echo(targets: dict[str, float]) -> Callable:
+    """A strategy that always wants ``targets``, and nothing of what they don't name."""
+    return lambda ctx, params: {**ctx.flat(), **targets}
+
+
+def call_strategy(strategy: Callable, ctx: Context, params: dict[str, Any]) -> Any:
+    """(ctx, params) or (ctx), by what the function takes."""
+    return strategy(ctx, params) if len(inspect.signature(strategy).parameters) > 1 else strategy(ctx)
 
 
 def validate_targets(targets: Any, universe: list[str]) -> dict[str, float]:
+    targets = unwrap(targets)
     if not isinstance(targets, dict) or set(targets) != set(universe):
         raise InvalidTarget("targets must name exactly the universe")
     out = {i: float(targets[i]) for i in universe}
@@ -139,22 +199,40 @@ class FoldResult:
     warnings: list[str]
 
 
-def run_fold(bars: pd.DataFrame, strategy: Callable, params: dict[str, Any], cost: Cost, risk: Risk = Risk(), opening: Opening = Opening(), features: tuple[str, ...] = (), seed: int = 1, run_id: str = "run", aliases: dict[str, str] | None = None) -> FoldResult:
-    """Walk the pulses: value, decide, validate, limit, then fill at the next open."""
+def run_fold(bars: pd.DataFrame, strategy: Callable, params: dict[str, Any], cost: Cost, risk: Risk = Risk(), opening: Opening = Opening(), features: tuple[str, ...] = (), seed: int = 1, run_id: str = "run", aliases: dict[str, str] | None = None, resume: FoldResult | None = None) -> FoldResult:
+    """Walk the pulses: value, decide, validate, limit, then fill at the next open.
+
+    With ``resume`` (what an earlier, shorter walk over the same bars gave) the walk goes on after
+    its last pulse: lots, cash and positions come from its events, the state from its states.
+    """
     universe = sorted(bars["instrument_id"].unique())
     pulses = sorted(bars["ts_utc"].unique())
     if len(bars) != len(universe) * len(pulses):
-        raise InvalidTarget("the panel isn't complete")
+        raise CoverageError("the panel isn't complete")
     x = bars.sort_values(["ts_utc", "instrument_id"])
     grid = {c: x[c].to_numpy(dtype=float).reshape(len(pulses), len(universe)) for c in ("open", "high", "low", "close", "volume", *features)}
     pos = dict.fromkeys(universe, 0.0) | {k: q for k, q in opening.held().items()}
     lots = {i: Lots() for i in universe}
     cash, realized, state = float(opening.cash), 0.0, None
     out = FoldResult([], [], [], [])
-    for k, q in opening.held().items():
+    begin = 0
+    if resume is not None and resume.equity:
+        done = pd.Timestamp(resume.equity[-1]["ts_utc"])
+        begin = sum(pd.Timestamp(t) <= done for t in pulses)
+        # Decisions of the last bar there was weren't filled; they are taken again from there.
+        pending = [w for w in resume.warnings if w.startswith("LAST_BAR_NO_FILL")]
+        begin -= bool(pending) and begin < len(pulses)
+        out = FoldResult(list(resume.events), resume.equity[:begin], [s for s in resume.states if begin == len(pulses) or pd.Timestamp(s["ts_utc"]) < pulses[begin]], [w for w in resume.warnings if w not in pending])
+        state = json.loads(out.states[-1]["state_json"]) if out.states else None
+        pos = dict.fromkeys(universe, 0.0)
+        for e in out.events:
+            pos[e["instrument_id"]] += e["position_delta"]
+            cash += e["cash_delta"]
+            realized += lots[e["instrument_id"]].fill(e["position_delta"], e["price"]) - e["fee"]
+    for k, q in opening.held().items() if resume is None or not resume.equity else ():
         lots[k].fill(q, opening.cost_basis[k])
         out.events.append({"ts_utc": pulses[0], "event_type": "CASHFLOW", "instrument_id": k, "side": "BUY", "qty": q, "price": opening.cost_basis[k], "fee": 0.0, "cash_delta": 0.0, "position_delta": q})
-    for t, ts in enumerate(pulses):
+    for t, ts in list(enumerate(pulses))[begin:]:
         close = dict(zip(universe, grid["close"][t].tolist(), strict=True))
         value = sum(pos[i] * close[i] for i in universe)
         out.equity.append({"ts_utc": ts, "cash": cash, "positions_value": value, "equity": cash + value, "realized_pnl": realized, "unrealized_pnl": value - sum(lots[i].basis() for i in universe)})
@@ -163,7 +241,10 @@ def run_fold(bars: pd.DataFrame, strategy: Callable, params: dict[str, Any], cos
             {i: {f: None if math.isnan(v := float(grid[f][t, j])) else v for f in features} for j, i in enumerate(universe)},
             dict(pos), cash, cash + value, derive_seed(seed, {"run_id": run_id, "pulse": t}), state, aliases or {},
         )
-        got = strategy(ctx, params)
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            got = call_strategy(strategy, ctx, params)
+        out.warnings += sorted({str(w.message) for w in said} - set(out.warnings))
         if isinstance(got, dict) and set(got) == {"targets", "state_update"}:
             got, state = got["targets"], got["state_update"]
             out.states.append({"ts_utc": ts, "state_json": canonical_json(state)})
@@ -202,7 +283,7 @@ def fold_sweep(panel: DataFrame, candidates: list, strategy: Callable, cost: Cos
     """
     spark = panel.sparkSession
     params = {c.label: {**c.feature_params, **c.params} for c in candidates}
-    ids = spark.createDataFrame([(c.label,) for c in candidates], "candidate_id string")
+    ids = driver_table(spark, [(c.label,) for c in candidates], "candidate_id string")
     cols = ["candidate_id", "instrument_id", "ts_utc", "open", "high", "low", "close", "volume", *features]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -224,4 +305,28 @@ def fold_sweep(panel: DataFrame, candidates: list, strategy: Callable, cost: Cos
     return panel.crossJoin(ids).select(*cols).groupBy("candidate_id").applyInPandas(run, _SCHEMA)
 
 
-__all__ = ["Context", "FoldResult", "Lots", "fold_sweep", "run_fold", "select_top_n", "signal_return", "target_rebalance", "validate_targets", "weight_equal"]
+_EVENT = ("ts_utc", "event_type", "instrument_id", "side", "qty", "price", "fee", "cash_delta", "position_delta", "event_seq")
+_WALK = "kind string, ts_utc timestamp_ntz, event_type string, instrument_id string, side string, qty double, price double, fee double, cash_delta double, position_delta double, event_seq long, cash double, positions_value double, equity double, realized_pnl double, unrealized_pnl double, text string"
+
+
+def walk(panel: DataFrame, strategy: Callable, params: dict[str, Any], cost: Cost, risk: Risk = Risk(), opening: Opening = Opening(), features: tuple[str, ...] = (), seed: int = 1, run_id: str = "run", aliases: dict[str, str] | None = None) -> DataFrame:
+    """One run in one grouped call on an executor: rows of kind event, equity, state (its JSON in
+    ``text``) and warning, which the caller writes once and then splits."""
+    cols = ["instrument_id", "ts_utc", "open", "high", "low", "close", "volume", *features]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = run_fold(pdf.drop(columns="_run"), strategy, params, cost, risk, opening, features, seed, run_id, aliases)
+        rows = [{"kind": "event", **{c: e[c] for c in _EVENT}} for e in r.events] + [{"kind": "equity", **e} for e in r.equity]
+        rows += [{"kind": "state", "ts_utc": s["ts_utc"], "text": s["state_json"]} for s in r.states] + [{"kind": "warning", "text": w} for w in r.warnings]
+        names = [f.split()[0] for f in _WALK.split(", ")]
+        out = pd.DataFrame(rows, columns=names)
+        out["event_seq"] = out["event_seq"].astype("Int64")
+        for c in ("event_type", "instrument_id", "side", "text"):
+            out[c] = out[c].astype(object).where(out[c].notna(), None)
+        out["ts_utc"] = pd.to_datetime(out["ts_utc"])
+        return out
+
+    return panel.select(*cols).withColumn("_run", F.lit(0)).groupBy("_run").applyInPandas(run, _WALK)
+
+
+__all__ = ["Context", "FoldResult", "Lots", "call_strategy", "echo", "fold_sweep", "passed_warmup", "run_fold", "select_top_n", "signal_return", "target_rebalance", "validate_targets", "walk", "weight_equal"]

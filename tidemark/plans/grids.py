@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import InvalidConfig
 from ..schema import canonical_json, derive_seed, sha256
+from ..storage import driver_table
 
 #: Fixed value: what a grid filter may call.
-ALLOWED = {"abs", "min", "max", "round", "exp", "log", "log10", "sqrt", "floor", "ceil"}
+ALLOWED = {"abs", "min", "max", "pmin", "pmax", "round", "exp", "log", "log10", "sqrt", "floor", "ceil", "is_na", "is_finite"}
 _NODES = (ast.Expression, ast.BoolOp, ast.And, ast.Or, ast.UnaryOp, ast.Not, ast.USub, ast.BinOp, ast.Add, ast.Sub, ast.Mult, ast.Div, ast.FloorDiv, ast.Mod, ast.Pow, ast.Compare, ast.Lt, ast.LtE, ast.Gt, ast.GtE, ast.Eq, ast.NotEq, ast.In, ast.NotIn, ast.Name, ast.Load, ast.Constant, ast.List, ast.Tuple, ast.Call)
 
 
@@ -37,9 +38,20 @@ class Grid(list):
             raise InvalidConfig("labels of a grid must differ")
 
     def table(self, spark: SparkSession, types: dict[str, str]) -> DataFrame:
-        """One row for each candidate: candidate_id, candidate_row and the named parameters."""
+        """One row for each candidate: candidate_id, candidate_row and the named parameters.
+        Joins broadcast it, up to the bound of ``driver_table``."""
         rows = [(c.label, i + 1, *[{**c.feature_params, **c.params}.get(k) for k in types]) for i, c in enumerate(self)]
-        return spark.createDataFrame(rows, ", ".join(["candidate_id string", "candidate_row int", *[f"{k} {t}" for k, t in types.items()]]))
+        return driver_table(spark, rows, ", ".join(["candidate_id string", "candidate_row int", *[f"{k} {t}" for k, t in types.items()]]))
+
+
+class _WholeColumn(ast.NodeTransformer):
+    """min and max of one name are over the whole grid: a name of their own."""
+
+    def visit_Call(self, node: ast.Call) -> ast.AST:
+        self.generic_visit(node)
+        if node.func.id in ("min", "max") and len(node.args) == 1 and isinstance(node.args[0], ast.Name):
+            return ast.copy_location(ast.Name(f"{node.func.id} of {node.args[0].id}", ast.Load()), node)
+        return node
 
 
 def _check(expr: str) -> Any:
@@ -49,9 +61,16 @@ def _check(expr: str) -> Any:
     for node in ast.walk(tree):
         if not isinstance(node, _NODES) or (isinstance(node, ast.Call) and not (isinstance(node.func, ast.Name) and node.func.id in ALLOWED)):
             raise InvalidConfig(f"a grid filter can't use {ast.dump(node)[:60]}")
-    code = compile(tree, "filter", "eval")
-    known = {k: getattr(math, k, None) or {"abs": abs, "min": min, "max": max, "round": round}[k] for k in ALLOWED}
-    return lambda values: eval(code, {"__builtins__": {}}, {**known, **values})  # noqa: S307
+    code = compile(_WholeColumn().visit(tree), "filter", "eval")
+    na = lambda v: v is None or v != v
+    own = {"abs": abs, "min": min, "max": max, "pmin": min, "pmax": max, "round": round, "is_na": na, "is_finite": lambda v: not na(v) and math.isfinite(v)}
+    known = {k: own.get(k) or getattr(math, k) for k in ALLOWED}
+
+    def kept(rows: list[dict[str, Any]]) -> list[dict[str, Any]]:
+        whole = {f"{f.__name__} of {k}": f(r[k] for r in rows) for f in (min, max) for k in (rows[0] if rows else ()) if all(isinstance(r[k], (int, float)) for r in rows)}
+        return [r for r in rows if eval(code, {"__builtins__": {}}, {**known, **whole, **r})]  # noqa: S307
+
+    return kept
 
 
 def _cross(values: dict[str, list], where: str | None) -> list[dict[str, Any]]:
@@ -60,7 +79,7 @@ def _cross(values: dict[str, list], where: str | None) -> list[dict[str, Any]]:
         raise InvalidConfig("each parameter needs a list of values")
     names = list(values)
     rows = [dict(zip(names, reversed(x), strict=True)) for x in itertools.product(*[values[k] for k in reversed(names)])]
-    return [r for r in rows if _check(where)(r)] if where else rows
+    return rows if where is None else _check(where)(rows)
 
 
 def _label(params: dict, feature_params: dict) -> str:

@@ -36,20 +36,32 @@ def source_of(fn: Callable) -> str | None:
         return None
 
 
+def hash_of(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def fingerprint(fn: Callable) -> str | None:
     text = source_of(fn)
-    return None if text is None else hashlib.sha256(text.encode()).hexdigest()
+    return None if text is None else hash_of(text)
 
 
-def preflight(fn: Callable) -> Preflight:
-    text = source_of(fn)
-    if text is None:
-        return Preflight(2, ("the source can't be read",), None)
+def _tree(text: str) -> ast.AST:
+    """The syntax tree of a function's source; of a lambda, whose line needn't parse by
+    itself, from ``lambda`` on as far as it does."""
     try:
-        tree = ast.parse(text)
-    except SyntaxError:  # a lambda within a larger expression
-        tree = ast.parse("pass")
-    bad, outside = [], []
+        return ast.parse(text)
+    except SyntaxError:
+        start = text.find("lambda")
+        for end in range(len(text), start, -1):
+            try:
+                return ast.parse(text[start:end], mode="eval")
+            except SyntaxError:
+                continue
+    return ast.parse("pass")
+
+
+def _calls(tree: ast.AST) -> list[str]:
+    bad = []
     for node in ast.walk(tree):
         if isinstance(node, ast.Call):
             name = node.func.attr if isinstance(node.func, ast.Attribute) else getattr(node.func, "id", "")
@@ -57,8 +69,22 @@ def preflight(fn: Callable) -> Preflight:
                 bad.append(f"calls {name}")
         if isinstance(node, (ast.Global, ast.Nonlocal)):
             bad.append("assigns outer names")
-        if isinstance(node, (ast.Import, ast.ImportFrom)):
-            outside.append("imports")
+    return bad
+
+
+def forbidden(fn: Callable) -> list[str]:
+    """What a function does that makes its result depend on more than its arguments."""
+    text = source_of(fn)
+    return [] if text is None else _calls(_tree(text))
+
+
+def preflight(fn: Callable) -> Preflight:
+    text = source_of(fn)
+    if text is None:
+        return Preflight(2, ("the source can't be read",), None)
+    tree = _tree(text)
+    bad = _calls(tree)
+    outside = ["imports" for node in ast.walk(tree) if isinstance(node, (ast.Import, ast.ImportFrom))]
     if (len(inspect.signature(fn).parameters)) not in (1, 2):
         bad.append("takes neither (ctx) nor (ctx, params)")
     seen = inspect.getclosurevars(fn)

@@ -1,9 +1,14 @@
-"""Sweeps: all candidates of a column strategy as one plan, with a candidate column."""
+"""Sweeps: all candidates of a column strategy as one plan, with a candidate column.
+
+The panel with its features is written once, then the ledger's legs; equity, trades and
+metrics of all candidates read these.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +18,8 @@ from ..functions import indicators as ind
 from ..operators import accounting, ledger, metrics
 from ..operators.cost import Cost
 from ..operators.ledger import Opening
+from ..sources import panels
+from ..storage import stage
 
 BY = ("candidate_id",)
 
@@ -20,9 +27,20 @@ BY = ("candidate_id",)
 @dataclass(frozen=True)
 class Sweep:
     panel: DataFrame  # with candidate_id and target
-    events: DataFrame
-    equity: DataFrame
-    trades: DataFrame
+    legs: DataFrame  # events by leg, with what each close realised
+    cash: float
+
+    @property
+    def events(self) -> DataFrame:
+        return self.legs.where("first_leg").drop("first_leg", "action", "leg_qty", "book", "hi", "lo", "realized", "cost")
+
+    @property
+    def trades(self) -> DataFrame:
+        return accounting.trades(self.legs, BY)
+
+    @cached_property
+    def equity(self) -> DataFrame:
+        return stage(accounting.equity(self.panel, self.legs, self.cash, BY), "sweep-equity")
 
     def metrics(self, context: metrics.MetricContext = metrics.MetricContext()) -> DataFrame:
         return metrics.metrics(self.equity, self.trades, context, BY)
@@ -42,17 +60,18 @@ def with_features(panel: DataFrame, features: dict[str, Callable[[DataFrame, str
 def run(panel: DataFrame, candidates: DataFrame, target: Column, cost: Cost, opening: Opening = Opening()) -> Sweep:
     """``panel`` has the union of features; ``target`` reads them and the candidate's parameters.
 
-    A grid is a driver-made list, so the candidates' side is small by nature; Spark
-    broadcasts it under its own threshold. Windows are partitioned by candidate and instrument.
+    A grid's table is made on the driver and broadcast up to a fixed number of rows.
+    Windows are partitioned by candidate and instrument. A panel with gaps raises.
     """
+    panel = panels.require_complete(stage(panel, "sweep-panel"))
     x = panel.join(candidates, how="cross").withColumn("target", target)
     x = x.select(*BY, "instrument_id", "ts_utc", "open", "close", "target")
-    fills = ledger.fills(x, cost, opening, BY)
+    fills = stage(ledger.fills(x, cost, opening, BY), "sweep-fills")
     start = None
     if opening.held():
         start = panel.agg(F.min("ts_utc").alias("t")).first().t
-    ev = ledger.events(fills, start, opening, BY)
-    return Sweep(x, ev, accounting.equity(x, ev, opening.cash, BY), accounting.trades(ev, BY))
+    ev = ledger.events(fills, start, opening, BY, candidates.select(*BY))
+    return Sweep(x, stage(accounting.matched_legs(ev, BY), "sweep-legs"), opening.cash)
 
 
 def crossover(panel: DataFrame, candidates: DataFrame, fast: list[int], slow: list[int], cost: Cost, qty: float = 1.0, opening: Opening = Opening()) -> Sweep:
@@ -77,6 +96,32 @@ def review(results: DataFrame, rank_by: str, n: int = 5, descending: bool = True
     return results.withColumn("rank", F.row_number().over(Window.orderBy(key, "candidate_row"))).where(F.col("rank") <= n)
 
 
+def issues(results: DataFrame) -> DataFrame:
+    """Candidates that failed or lack a finite value of some metric, in the order of the grid."""
+    bad = F.lit(False) if "status" not in results.columns else F.col("status") != "DONE"
+    for c in ("total_return", "sharpe"):
+        bad = bad | F.col(c).isNull() | F.isnan(c)
+    return results.where(bad).orderBy("candidate_row") if "candidate_row" in results.columns else results.where(bad)
+
+
+def counted(sweeps: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``sweeps`` with n_candidates, n_done and n_failed, 0 without candidates."""
+    n = candidates.groupBy("sweep_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.sum(F.when(F.col("status") == "DONE", 1).otherwise(0)).alias("n_done"), F.sum(F.when(F.col("status") == "FAILED", 1).otherwise(0)).alias("n_failed"))
+    return sweeps.join(n, "sweep_id", "left").na.fill(0, ["n_candidates", "n_done", "n_failed"])
+
+
+def returns_frame(returns: DataFrame, candidates: list[str], value: str = "period_return"):
+    """A pandas frame, time by candidate: one row for each pulse comes to the driver."""
+    return returns_wide(returns, candidates, value).orderBy("ts_utc").toPandas().set_index("ts_utc")
+
+
+def returns_panel(returns: DataFrame) -> DataFrame:
+    """The retained panel without the first pulse, which has no return; complete or an error."""
+    if not incomplete(returns).isEmpty():
+        raise ValidationError("candidates with unlike timestamps")
+    return returns.where("period_return is not null")
+
+
 def incomplete(returns: DataFrame) -> DataFrame:
     """Candidates whose timestamps aren't those of the whole panel."""
     total = returns.agg(F.count_distinct("ts_utc").alias("total"))
@@ -92,4 +137,4 @@ def returns_matrix(returns: DataFrame, candidates: list[str], value: str = "peri
     """A numpy matrix of time by candidate, for a panel that is complete."""
     if not incomplete(returns).isEmpty():
         raise ValidationError("candidates with unlike timestamps")
-    return returns_wide(returns, candidates, value).orderBy("ts_utc").toPandas().set_index("ts_utc").to_numpy()
+    return returns_frame(returns, candidates, value).to_numpy()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
+from ..storage import driver_table, stage
 
 EULER = 0.5772156649
 
@@ -34,19 +35,19 @@ def pbo_cases(returns: DataFrame, s: int = 4) -> DataFrame:
     lambda (null where infinite, when the winner is best out of sample).
 
     The splits are a table of binomial size in ``s``; block sums are aggregated first, so
-    the join is of candidates times blocks, whatever the length of the history.
+    the join is of candidates times blocks, whatever the length of the history. Returns are
+    computed once, numbered and written, and one row says whether their lengths agree.
     """
     spark = returns.sparkSession
-    x = _numbered(returns)
-    t = x.groupBy("candidate_id").agg(F.max("rn").alias("n"))
-    lengths = [r.n for r in t.select("n").distinct().limit(2).collect()]
-    if len(lengths) != 1 or t.count() < 2:
+    x = stage(_numbered(returns.select("candidate_id", "ts_utc", "period_return")), "pbo-returns")
+    t = x.groupBy("candidate_id").agg(F.max("rn").alias("n")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    if t.k < 2 or t.lo != t.hi:
         raise ValidationError("PBO needs two candidates or more with as many returns each")
-    if lengths[0] < 4 or lengths[0] % s:
-        raise ValidationError(f"S must divide the {lengths[0]} returns")
-    size = lengths[0] // s
+    if t.lo < 4 or t.lo % s:
+        raise ValidationError(f"S must divide the {t.lo} returns")
+    size = t.lo // s
     blocks = x.groupBy("candidate_id", (F.floor((F.col("rn") - 1) / size) + 1).alias("block")).agg(F.sum("period_return").alias("r"))
-    cases = spark.createDataFrame(splits(s), "case_id int, block int, is_in boolean")
+    cases = driver_table(spark, splits(s), "case_id int, block int, is_in boolean")
     m = blocks.join(cases, "block").groupBy("case_id", "candidate_id").agg(
         F.round(F.sum(F.when(F.col("is_in"), F.col("r"))) / (size * s // 2), 12).alias("ins"), F.round(F.sum(F.when(~F.col("is_in"), F.col("r"))) / (size * s // 2), 12).alias("oos")
     )
