@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +33,16 @@ def splits(s: int) -> list[tuple[int, int, bool]]:
     return out
 
 
-def pbo_cases(returns: DataFrame, s: int = 4) -> DataFrame:
+def pbo_cases(returns: DataFrame, s: int = 4, metric: Callable | None = None) -> DataFrame:
     """One row for each split: the in-sample winner, its average out-of-sample rank, omega and
     lambda (null where infinite, when the winner is best out of sample).
 
     The splits are a table of binomial size in ``s``; block sums are aggregated first, so
     the join is of candidates times blocks, whatever the length of the history. Returns are
     computed once, numbered and written, and one row says whether their lengths agree.
+
+    ``metric`` (a matrix of time by candidate -> one score for each column) takes the place of the mean:
+    each split is one grouped call over the returns, as such a score doesn't add up from blocks.
     """
     spark = returns.sparkSession
     x = stage(_numbered(returns.select("candidate_id", "ts_utc", "period_return")), "pbo-returns")
@@ -48,7 +54,7 @@ def pbo_cases(returns: DataFrame, s: int = 4) -> DataFrame:
     size = t.lo // s
     blocks = x.groupBy("candidate_id", (F.floor((F.col("rn") - 1) / size) + 1).alias("block")).agg(F.sum("period_return").alias("r"))
     cases = driver_table(spark, splits(s), "case_id int, block int, is_in boolean")
-    m = blocks.join(cases, "block").groupBy("case_id", "candidate_id").agg(
+    m = _scored(x, cases, size, metric) if metric else blocks.join(cases, "block").groupBy("case_id", "candidate_id").agg(
         F.round(F.sum(F.when(F.col("is_in"), F.col("r"))) / (size * s // 2), 12).alias("ins"), F.round(F.sum(F.when(~F.col("is_in"), F.col("r"))) / (size * s // 2), 12).alias("oos")
     )
     win = Window.partitionBy("case_id").orderBy(F.desc("ins"), "candidate_id")
@@ -59,9 +65,27 @@ def pbo_cases(returns: DataFrame, s: int = 4) -> DataFrame:
     return m.select("case_id", F.col("candidate_id").alias("winner"), F.col("rank_").cast("double").alias("oos_rank"), "omega", lam.alias("logit"))
 
 
-def pbo(returns: DataFrame, s: int = 4, threshold: float = 0.0) -> DataFrame:
+def _scored(x: DataFrame, cases: DataFrame, size: int, metric: Callable) -> DataFrame:
+    """(case_id, candidate_id, ins, oos) by a function of the returns of each half."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = {}
+        for inside, half in pdf.groupby("is_in"):
+            wide = half.pivot(index="rn", columns="candidate_id", values="period_return").sort_index()
+            got = np.asarray(metric(wide.to_numpy()), float)
+            if got.shape != (wide.shape[1],) or not np.isfinite(got).all():
+                raise ValidationError("a metric gives one finite score for each candidate")
+            out["ins" if inside else "oos"] = np.round(got, 12)
+        names = sorted(pdf["candidate_id"].unique())
+        return pd.DataFrame({"case_id": pdf["case_id"].iloc[0], "candidate_id": names, **out})
+
+    rows = x.withColumn("block", (F.floor((F.col("rn") - 1) / size) + 1).cast("int")).join(cases, "block")
+    return rows.groupBy("case_id").applyInPandas(run, "case_id int, candidate_id string, ins double, oos double")
+
+
+def pbo(returns: DataFrame, s: int = 4, threshold: float = 0.0, metric: Callable | None = None) -> DataFrame:
     """The probability of back-test overfitting: the share of splits with lambda up to ``threshold``."""
-    c = pbo_cases(returns, s)
+    c = pbo_cases(returns, s, metric)
     return c.agg(F.avg(F.when(F.col("logit") <= threshold, 1.0).otherwise(0.0)).alias("pbo"), F.count(F.lit(1)).alias("n_cases"))
 
 
