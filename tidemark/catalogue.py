@@ -570,9 +570,17 @@ _N = 4.0
 _BEST = (1 - validation.EULER) * validation.NormalDist().inv_cdf(1 - 1 / _N) + validation.EULER * validation.NormalDist().inv_cdf(1 - 1 / (_N * validation.math.e))
 
 
-@register("v04_dsr", f"WITH {_MOMENTS}, s AS (SELECT stddev_samp(sharpe) * {_BEST!r} AS sr0 FROM mo) SELECT candidate_id, round(sr0, 6) AS sr0, round((sharpe - sr0) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe), 6) AS dsr_z, (sharpe - sr0) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) >= {_Z95!r} AS significant FROM mo CROSS JOIN s")
+_ODD = "[" + ", ".join(f"{float(validation.math.prod(range(1, 2 * k + 2, 2)))!r}::DOUBLE" for k in range(90)) + "]"
+
+
+@register(
+    "v04_dsr",
+    f"""WITH {_MOMENTS}, s AS (SELECT stddev_samp(sharpe) * {_BEST!r} AS sr0 FROM mo),
+z AS (SELECT candidate_id, sr0, (sharpe - sr0) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) AS z, {_ODD} AS f FROM mo CROSS JOIN s)
+SELECT candidate_id, round(sr0, 6) AS sr0, round(z, 6) AS dsr_z, round(0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum([pow(z, 2 * k + 1) / f[k + 1] for k in range(90)]), 6) AS dsr, z >= {_Z95!r} AS significant FROM z""",
+)
 def v04(spark, d):
-    return rounded(validation.deflated_sharpe(sweep_of(spark, d).returns(), _N).select("candidate_id", "sr0", "dsr_z", "significant"))
+    return rounded(validation.deflated_sharpe(sweep_of(spark, d).returns(), _N).select("candidate_id", "sr0", "dsr_z", "dsr", "significant"))
 
 
 # Walk-forward ---------------------------------------------------------------------------------

@@ -30,6 +30,10 @@ from ..schema import canonical_json, derive_seed
 from ..storage import driver_table
 
 
+#: Rows of a panel that is broadcast at most.
+SHARED = 2_000_000
+
+
 @dataclass
 class Context:
     """What a strategy sees at one pulse. Nothing later than the pulse is reachable."""
@@ -279,7 +283,9 @@ def fold_sweep(panel: DataFrame, candidates: list, strategy: Callable, cost: Cos
     """A stateful strategy over candidates, each one grouped call, run side by side.
 
     Returns equity rows for candidates that ended, and one row with status FAILED and the
-    error for the others. A group is one candidate's panel, the unit that the walk needs whole.
+    error for the others. A walk needs the whole panel, so a worker holds it in any case:
+    up to ``SHARED`` rows it is broadcast and only the candidates are dealt out; beyond that each
+    candidate's panel is shuffled to it.
     """
     spark = panel.sparkSession
     params = {c.label: {**c.feature_params, **c.params} for c in candidates}
@@ -302,7 +308,17 @@ def fold_sweep(panel: DataFrame, candidates: list, strategy: Callable, cost: Cos
         out.insert(0, "candidate_id", label)
         return out
 
-    return panel.crossJoin(ids).select(*cols).groupBy("candidate_id").applyInPandas(run, _SCHEMA)
+    table = panel.select(*cols[1:]).limit(SHARED + 1).toArrow()
+    if table.num_rows > SHARED:
+        return panel.crossJoin(ids).select(*cols).groupBy("candidate_id").applyInPandas(run, _SCHEMA)
+    shared = spark.sparkContext.broadcast(table)
+
+    def each(batches):
+        for names in batches:
+            for label in names["candidate_id"]:
+                yield run((label,), shared.value.to_pandas())
+
+    return ids.repartition(max(1, min(len(candidates), 10_000)), "candidate_id").mapInPandas(each, _SCHEMA)
 
 
 _EVENT = ("ts_utc", "event_type", "instrument_id", "side", "qty", "price", "fee", "cash_delta", "position_delta", "event_seq")
