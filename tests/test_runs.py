@@ -231,3 +231,24 @@ def test_pbo_by_another_measure(spark):
         assert sharpe[case].winner == f"c{int(s.argmax())}"
     with pytest.raises(PySparkException, match="ValidationError"):
         validation.pbo_cases(df, 4, metric=lambda m: m.mean(axis=0)[:2]).collect()
+
+
+def test_ledgers_from_outside(spark):
+    said = [("BUY", 5.0, 10.0), ("BUY_TO_COVER", 2.0, 11.0), ("SELL_SHORT", 7.0, 12.0), ("SELL_SHORT", 1.0, 9.0), ("BUY_TO_COVER", 1.0, 8.0), ("HOLD", 1.0, 8.0), ("BUY", -1.0, 8.0), ("BUY", 1.0, None), ("COVER", 3.0, 7.0), ("SELL", 2.0, 6.0)]
+    rows = [(DAY, "FILL", "A", s, q, p, 0.5, 0.0, 0.0, n) for n, (s, q, p) in enumerate(said, 1)]
+    ev = spark.createDataFrame(rows, "ts_utc timestamp_ntz, event_type string, instrument_id string, side string, qty double, price double, fee double, cash_delta double, position_delta double, event_seq long")
+    x = accounting.screen(ev)
+    assert [r.status for r in x.orderBy("event_seq").collect()] == [None, "REJECTED", None, "REJECTED", None, "INVALID", "INVALID", "INVALID", None, None]
+    assert [r.position_delta for r in x.orderBy("event_seq").collect()] == [5, 0, -7, 0, 1, 0, 0, 0, 3, -2]
+    got = [(r.event_seq, r.action, r.qty, r.realized_pnl) for r in accounting.screened_fills(x).collect()]
+    assert sorted(got, key=str) == sorted([(1, "OPEN", 5, 0), (2, "REJECTED", 2, None), (3, "CLOSE", 5, 10), (3, "OPEN", 2, 0), (4, "REJECTED", 1, None), (5, "CLOSE", 1, 4), (6, None, 1, None), (7, None, -1, None), (8, None, 1, None), (9, "CLOSE", 1, 5), (9, "OPEN", 2, 0), (10, "CLOSE", 2, -2)], key=str)
+
+
+def test_schema_values():
+    from tidemark import schema
+
+    assert schema.read_json(None) is None and schema.read_json(' {"a": [1]} ') == {"a": [1]}
+    assert schema.named_numbers({"a": 2}, {"a": 1.0, "b": 3.0}) == {"a": 2.0, "b": 3.0} and schema.alias_names({"x": "sma_3"}) == {"x": "sma_3"}
+    for bad in (lambda: schema.read_json("{"), lambda: schema.named_numbers({"c": 1}, {"a": 1.0}), lambda: schema.named_numbers({"a": "1"}, {"a": 1.0}), lambda: schema.alias_names({"a__b": "c"}), lambda: schema.derive_seed(-1, {}), lambda: schema.derive_seed(1.5, {})):
+        with pytest.raises(errors.InvalidConfig):
+            bad()

@@ -11,7 +11,7 @@ from .functions import features
 from .functions import indicators as ind
 from .operators import accounting, cost, ledger, metrics, risk, strategy
 from .plans import experiment, fold, grids, sweep, validation, walkforward
-from .schema import seed_column
+from .schema import seed_column, utc_column
 from .sources import panels, snapshots
 from .storage import driver_table, shared_dir, stage
 
@@ -905,3 +905,15 @@ def v06_flat(spark, d):
 def v06_carried(spark, d):
     """The same with state carried from test window to test window."""
     return finished(walked(spark, d, "carry_test_state").scores.where("window = 'test'"))
+
+
+@register(
+    "sc_utc_column",
+    "WITH t AS (SELECT event_id, ts, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(ts, '%Y-%m-%d') WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:30' WHEN 4 THEN strftime(ts, '%d.%m.%Y') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-0100' END AS said FROM events) SELECT event_id, said, CASE event_id % 6 WHEN 2 THEN date_trunc('day', ts)::TIMESTAMP WHEN 3 THEN date_trunc('second', ts) - INTERVAL 150 MINUTE WHEN 5 THEN date_trunc('second', ts) + INTERVAL 60 MINUTE WHEN 4 THEN NULL ELSE date_trunc('second', ts) END AS at_utc FROM t",
+)
+def sc_utc(spark, d):
+    """Times in every form that is read, and in one that isn't."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts")
+    k, iso = F.col("event_id") % 6, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    said = F.when(k == 0, F.concat(iso, F.lit("Z"))).when(k == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(k == 2, F.date_format("ts", "yyyy-MM-dd")).when(k == 3, F.concat(iso, F.lit("+02:30"))).when(k == 4, F.date_format("ts", "dd.MM.yyyy")).otherwise(F.concat(iso, F.lit("-0100")))
+    return e.select("event_id", said.alias("said")).withColumn("at_utc", utc_column(F.col("said")))

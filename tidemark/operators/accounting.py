@@ -7,8 +7,12 @@ that belong to one open and one close each: matching is one sort of a book, not
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import TidemarkError
 
@@ -16,6 +20,50 @@ from ..errors import TidemarkError
 DUST = 1e-9
 
 
+#: Sides of ledgers from outside, and the direction of each.
+SIDES = {"BUY": 1, "BUY_TO_COVER": 1, "COVER": 1, "SELL": -1, "SELL_SHORT": -1, "SHORT": -1}
+
+
+def screen(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A ledger from outside with ``status``: null where a fill counts, REJECTED for a
+    BUY_TO_COVER without a short position or a SELL_SHORT without a long one, INVALID for an unknown side, or a quantity or
+    price that isn't a positive number. Sides become BUY and SELL and deltas follow them; what doesn't count moves nothing.
+
+    Whether a fill counts depends on those before it, so an instrument's events are one grouped
+    call. The engine's own ledgers have BUY and SELL only and don't need it.
+    """
+    schema = T.StructType([*events.schema.fields, T.StructField("status", T.StringType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("event_seq").reset_index(drop=True)
+        net, status, moved = 0.0, [], []
+        for side, q, p in zip(pdf["side"], pdf["qty"], pdf["price"], strict=True):
+            way, bad = SIDES.get(side or ""), None
+            if way is None or not (q is not None and q > 0 and math.isfinite(q)) or not (p is not None and p > 0 and math.isfinite(p)):
+                bad = "INVALID"
+            elif (side == "BUY_TO_COVER" and net >= 0) or (side == "SELL_SHORT" and net <= 0):
+                bad = "REJECTED"
+            status.append(bad)
+            moved.append(0.0 if bad else way * q)
+            net += moved[-1]
+        ok = pd.Series(status).isna()
+        pdf["side"] = [side if bad else "BUY" if m > 0 else "SELL" for side, m, bad in zip(pdf["side"], moved, status, strict=True)]
+        pdf["position_delta"] = moved
+        pdf["cash_delta"] = (-pdf["position_delta"] * pdf["price"] - pdf["fee"].fillna(0.0)).where(ok & (pdf["event_type"] == "FILL"), 0.0)
+        pdf["status"] = pd.Series(status, dtype=object)
+        return pdf
+
+    return events.groupBy(*by, "instrument_id").applyInPandas(run, schema)
+
+
+def screened_fills(screened: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``fill_rows`` of what counts, and one row for each other fill: action REJECTED, or null if INVALID."""
+    good = fill_rows(screened.where("status is null").drop("status"), by)
+    bad = screened.where("status is not null and event_type = 'FILL'")
+    action = F.when(F.col("status") == "REJECTED", F.lit("REJECTED")).alias("action")
+    return good.unionByName(bad.select(*by, "event_seq", "ts_utc", "instrument_id", "side", "qty", "price", "fee", action, F.lit(None).cast("double").alias("realized_pnl")))
+
+
 def legs(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Closing and opening leg of each event, with its book and interval. ``first_leg`` marks
     one leg of each event, for what counts once an event. Legs given are returned as they are."""

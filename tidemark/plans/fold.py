@@ -26,7 +26,7 @@ from ..operators.cost import Cost
 from ..operators.ledger import MIN_DELTA, Opening
 from ..operators.risk import Risk
 from ..operators.types import Selection, Signal, Target, Weights, unwrap
-from ..schema import canonical_json, derive_seed
+from ..schema import alias_names, canonical_json, derive_seed
 from ..storage import driver_table
 
 
@@ -215,6 +215,7 @@ def run_fold(bars: pd.DataFrame, strategy: Callable, params: dict[str, Any], cos
         raise CoverageError("the panel isn't complete")
     x = bars.sort_values(["ts_utc", "instrument_id"])
     grid = {c: x[c].to_numpy(dtype=float).reshape(len(pulses), len(universe)) for c in ("open", "high", "low", "close", "volume", *features)}
+    aliases = alias_names(aliases or {})
     pos = dict.fromkeys(universe, 0.0) | {k: q for k, q in opening.held().items()}
     lots = {i: Lots() for i in universe}
     cash, realized, state = float(opening.cash), 0.0, None
@@ -243,7 +244,7 @@ def run_fold(bars: pd.DataFrame, strategy: Callable, params: dict[str, Any], cos
         ctx = Context(
             ts, universe, {i: {c: float(grid[c][t, j]) for c in ("open", "high", "low", "close", "volume")} for j, i in enumerate(universe)},
             {i: {f: None if math.isnan(v := float(grid[f][t, j])) else v for f in features} for j, i in enumerate(universe)},
-            dict(pos), cash, cash + value, derive_seed(seed, {"run_id": run_id, "pulse": t}), state, aliases or {},
+            dict(pos), cash, cash + value, derive_seed(seed, {"run_id": run_id, "pulse": t}), state, aliases,
         )
         with warnings.catch_warnings(record=True) as said:
             warnings.simplefilter("always")

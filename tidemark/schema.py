@@ -81,12 +81,56 @@ def iso_utc(value: str | date | datetime) -> str:
     return utc(value).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
+def utc_column(text: Column) -> Column:
+    """Whole-second timestamps of ISO texts (a date, or date and time with ``T`` or a space, and ``Z``
+    or an offset or nothing after it, which is UTC); null for null, and for any other text."""
+    t = F.trim(text)
+    shaped = t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:?\d{2})?)?$")
+    day = F.try_to_timestamp(F.substring(t, 1, 10), F.lit("yyyy-MM-dd"))
+    clock = F.try_to_timestamp(F.concat(F.substring(t, 1, 10), F.lit(" "), F.substring(t, 12, 8)), F.lit("yyyy-MM-dd HH:mm:ss"))
+    offset = F.regexp_extract(t, r"([+-]\d{2}):?(\d{2})$", 0)
+    minutes = F.when(F.length(t) <= 19, 0).otherwise(F.coalesce(F.concat(F.substring(offset, 1, 1), F.lit("1")).try_cast("int") * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, -2, 2).try_cast("int")), F.lit(0)))
+    at = F.when(F.length(t) == 10, day).otherwise(clock) - F.make_dt_interval(mins=minutes)
+    return F.when(shaped, at).cast("timestamp_ntz")
+
+
+def read_json(text: str | None) -> Any:
+    """A value of JSON; nothing for null or empty text, and an error for what isn't JSON."""
+    if text is None or not text.strip():
+        return None
+    try:
+        return json.loads(text)
+    except ValueError as e:
+        raise InvalidConfig(f"not JSON: {text[:60]!r}") from e
+
+
+def named_numbers(values: dict[str, Any], defaults: dict[str, float]) -> dict[str, float]:
+    """``defaults`` with ``values`` over them: known names only, finite numbers only."""
+    unknown = sorted(set(values) - set(defaults))
+    if unknown:
+        raise InvalidConfig(f"unknown {unknown[0]}; known: {', '.join(defaults)}")
+    bad = [k for k, v in values.items() if isinstance(v, bool) or not isinstance(v, (int, float)) or not math.isfinite(v)]
+    if bad:
+        raise InvalidConfig(f"{bad[0]} must be a finite number")
+    return {k: float(values.get(k, v)) for k, v in defaults.items()}
+
+
+def alias_names(aliases: dict[str, str]) -> dict[str, str]:
+    """Alias -> feature id, in order; empty names and the reserved ``__`` raise."""
+    for alias, fid in aliases.items():
+        if not isinstance(alias, str) or not isinstance(fid, str) or not alias.strip() or not fid.strip() or "__" in alias:
+            raise InvalidConfig(f"{alias!r} can't name {fid!r}")
+    return dict(aliases)
+
+
 #: Starts and weights of the six digest chunks that make a seed, and the modulus.
 SEED_STARTS, SEED_WEIGHTS, SEED_MODULUS = (1, 7, 13, 19, 25, 31), (1, 17, 257, 4099, 65537, 104729), 2147483647
 
 
 def derive_seed(master: int, salt: dict[str, Any]) -> int:
     """A seed from a master seed and what the work is for: the same in any process."""
+    if isinstance(master, bool) or not isinstance(master, int) or not 0 <= master <= SEED_MODULUS:
+        raise InvalidConfig(f"a seed is a whole number from 0 to {SEED_MODULUS}")
     digest = sha256({"master_seed": master, "salt": salt})
     return seed_of_digest(digest)
 
