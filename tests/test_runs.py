@@ -136,6 +136,7 @@ def test_store_states_sources_and_comparison(spark, tmp_path):
     assert store.features("three").count() == 60 and store.states("three").count() == 0 and run.results("equity").count() == 30
     assert "def qty_three" in store.strategy("three") and store.strategy("three", trust=True).__name__ == "qty_three"
     assert preflight.hash_of(store.strategy("three")) == info["source_hash"]
+    assert [len(x) for x in run.cursor("equity", 20)] == [20, 10] and [len(x) for x in run.cursor()] == [2]
     assert "30 pulses" in run.summary() and "three" in store.print() and store.telemetry().first().runs == 1
     store.tag("three", "x", "y")
     assert [(r.tag, r.run_id) for r in store.tagged("y", "z").collect()] == [("y", "three")]
@@ -252,3 +253,15 @@ def test_schema_values():
     for bad in (lambda: schema.read_json("{"), lambda: schema.named_numbers({"c": 1}, {"a": 1.0}), lambda: schema.named_numbers({"a": "1"}, {"a": 1.0}), lambda: schema.alias_names({"a__b": "c"}), lambda: schema.derive_seed(-1, {}), lambda: schema.derive_seed(1.5, {})):
         with pytest.raises(errors.InvalidConfig):
             bad()
+
+
+def test_reserved_names_and_pulse_seeds(spark):
+    from tidemark.schema import derive_seed
+
+    with pytest.raises(errors.InvalidConfig):
+        strategy.pulse_wide(simulate.sim_bars(spark, 1, 3, 1), [], ["A__B"])
+    seeds = []
+    fold.run_fold(bars_pdf(3), lambda ctx: seeds.append(ctx.seed) or ctx.flat(), {}, cost.zero(), seed=9, run_id="r")
+    assert seeds == [derive_seed(9, {"run_id": "r", "pulse": t}) for t in range(3)]
+    with pytest.raises(errors.InvalidBars):
+        ledger.Opening(1.0, date="2020-01-01T00:00:00.5Z")

@@ -425,6 +425,11 @@ def a18(spark, d):
     return rounded(accounting.final_state(single(spark, d, opening=OPEN)[1], CASH, asof="1999-06-01")[0])
 
 
+@register("a18_final_cash", f"WITH {crossover_sql()}, {_OPEN_SQL} SELECT round({CASH} + sum(cash_delta), 4) AS cash FROM ev WHERE ts_utc <= '1999-06-01'")
+def a18_cash(spark, d):
+    return rounded(accounting.final_state(single(spark, d, opening=OPEN)[1], CASH, asof="1999-06-01")[1], 4)
+
+
 @register("b05_unfilled", f"WITH {crossover_sql()}, {run_sql()} SELECT decision_ts AS ts_utc, instrument_id, 'LAST_BAR_NO_FILL' AS warning, round(delta, 6) AS delta FROM d WHERE abs(delta) > 1.4901161193847656e-08 AND ts_utc IS NULL")
 def b05_unfilled(spark, d):
     return rounded(ledger.unfilled(crossover_panel(spark, d)))
@@ -450,9 +455,10 @@ def b26(spark, d):
 
 @register("b19_warmup_diagnostics", f"WITH {P}, c AS (SELECT instrument_id, count(*) AS available FROM bars GROUP BY 1), f(feature_id, stable_after) AS (VALUES ('sma_5', 5), ('ema_80', 81), ('returns_100', 101)) SELECT instrument_id, feature_id, stable_after::INT AS stable_after, available FROM c CROSS JOIN f WHERE available < stable_after")
 def b19(spark, d):
-    contracts = spark.createDataFrame([("sma_5", 5), ("ema_80", 81), ("returns_100", 101)], "feature_id string, stable_after int")
-    have = panels.ptype_month(spark, d).groupBy("instrument_id").agg(F.count(F.lit(1)).alias("available"))
-    return have.crossJoin(contracts).where("available < stable_after").select("instrument_id", "feature_id", "stable_after", "available")
+    bars = stage(panels.ptype_month(spark, d), "bars")
+    wanted = [features.sma(5), features.ema(80), features.renamed(features.returns(100), "returns_100")]
+    short = features.warmup_diagnostics(bars.select("instrument_id"), bars, wanted)
+    return short.select("instrument_id", "feature_id", "stable_after", F.col("available_bars").alias("available"))
 
 
 @register("a17_quantiles", f"WITH {E} SELECT instrument_id, round(quantile_cont(close, 0.5), 6) AS p50, round(quantile_cont(close, 0.99), 6) AS p99 FROM bars GROUP BY 1")
@@ -917,3 +923,37 @@ def sc_utc(spark, d):
     k, iso = F.col("event_id") % 6, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     said = F.when(k == 0, F.concat(iso, F.lit("Z"))).when(k == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(k == 2, F.date_format("ts", "yyyy-MM-dd")).when(k == 3, F.concat(iso, F.lit("+02:30"))).when(k == 4, F.date_format("ts", "dd.MM.yyyy")).otherwise(F.concat(iso, F.lit("-0100")))
     return e.select("event_id", said.alias("said")).withColumn("at_utc", utc_column(F.col("said")))
+
+
+@register(
+    "g02_grid_cross",
+    "SELECT 1 AS candidate_row, NULL::BIGINT AS n, NULL::BIGINT AS w, 0.0::DOUBLE AS qty UNION ALL SELECT (1 + row_number() OVER (ORDER BY qty, w, n))::INT, n, w, qty FROM unnest([2, 3]) a(n) CROSS JOIN unnest([5, 7, 9]) b(w) CROSS JOIN (SELECT unnest([1.0, 2.5])::DOUBLE AS qty) WHERE n + w <> 9",
+)
+def g02(spark, d):
+    """Features crossed with strategies, and a baseline before them."""
+    grid = grids.grid_cross(grids.feature_grid("n + w != 9", n=[2, 3], w=[5, 7, 9]), grids.strategy_grid(qty=[1.0, 2.5]))
+    return grids.add_baseline(grid, qty=0.0).table(spark, {"n": "long", "w": "long", "qty": "double"}).drop("candidate_id")
+
+
+@register(
+    "g05_candidate_seeds",
+    "WITH g AS (SELECT 'f' || fast || '_s' || slow AS candidate_id, sha256('{\"master_seed\":7,\"salt\":{\"params\":\"{\\\"fast\\\":' || fast || ',\\\"slow\\\":' || slow || '}\",\"run_id\":\"sweep\"}}') AS x FROM unnest([2, 3, 4]) a(fast) CROSS JOIN unnest([6, 8, 10]) b(slow)) SELECT candidate_id, ("
+    + " + ".join(f"('0x' || substr(x, {s}, 6))::BIGINT * {w}" for s, w in zip((1, 7, 13, 19, 25, 31), (1, 17, 257, 4099, 65537, 104729), strict=True))
+    + ") % 2147483647 + 1 AS seed FROM g",
+)
+def g05(spark, d):
+    """The seed of each candidate, from a master seed and what it runs."""
+    return driver_table(spark, [(c.label, grids.candidate_seed(7, "sweep", c)) for c in GRID], "candidate_id string, seed long")
+
+
+@register("p06_passed_warmup", f"WITH {E}, {_FEATURES_SQL} SELECT instrument_id, ts_utc FROM x WHERE sma_3 IS NOT NULL AND sma_8 IS NOT NULL AND return_2 IS NOT NULL")
+def p06(spark, d):
+    x = features.compute(panels.event_day(spark, d), _MAP)
+    return x.where(strategy.passed_warmup("sma_3", "sma_8", "return_2")).select("instrument_id", "ts_utc")
+
+
+@register("p05_opening_date", f"WITH {crossover_sql()}, {run_sql(opening=OPEN, start='1995-02-10')} SELECT {_EV} FROM ev")
+def p05(spark, d):
+    """Opening rows that stand on a date of their own."""
+    opening = ledger.Opening(OPEN.cash, OPEN.positions, OPEN.cost_basis, "1995-02-10")
+    return events_out(single(spark, d, opening=opening)[1])

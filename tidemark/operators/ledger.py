@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidConfig
+from ..schema import utc
 from ..storage import driver_table
 from .cost import Cost
 
@@ -22,13 +23,17 @@ MIN_DELTA = 1.4901161193847656e-08
 
 @dataclass(frozen=True)
 class Opening:
-    """Cash, positions and their cost basis before the first pulse."""
+    """Cash, positions and their cost basis before the first pulse; ``date`` stands on the
+    opening rows of the ledger in place of the first pulse."""
 
     cash: float = 100_000.0
     positions: dict[str, float] = field(default_factory=dict)
     cost_basis: dict[str, float] = field(default_factory=dict)
+    date: str | None = None
 
     def __post_init__(self):
+        if self.date is not None:
+            utc(self.date)
         if not 0 <= self.cash < float("inf"):
             raise InvalidConfig("opening cash must be a finite number of at least 0")
         for k, q in self.positions.items():
@@ -100,7 +105,7 @@ def events(fills_: DataFrame, start, opening: Opening = Opening(), by: tuple[str
     if opening.held():
         if runs is None and by:
             runs = fills_.select(*by).distinct()
-        at = F.col("start") if runs is not None and "start" in runs.columns else F.lit(start)
+        at = F.lit(str(utc(opening.date))) if opening.date is not None else F.col("start") if runs is not None and "start" in runs.columns else F.lit(start)
         first = (held if runs is None else runs.crossJoin(held)).select(
             *by, F.lit(None).cast("timestamp_ntz").alias("decision_ts"), at.cast("timestamp_ntz").alias("ts_utc"), F.lit("CASHFLOW").alias("event_type"), "instrument_id",
             F.lit("BUY").alias("side"), F.col("_open_qty").alias("qty"), F.col("_open_basis").alias("price"), F.lit(0.0).alias("fee"), F.lit(0.0).alias("cash_delta"), F.col("_open_qty").alias("position_delta"),

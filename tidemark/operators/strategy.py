@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import InvalidConfig
+
 
 def sma_crossover(fast: Column, slow: Column, qty: float | Column = 1.0, threshold: float = 0.0) -> Column:
     """``qty`` while fast / slow - 1 is over the threshold, else 0; 0 in warm-up."""
@@ -47,7 +49,11 @@ def passed_warmup(*cols: str) -> Column:
 def pulse_wide(panel: DataFrame, features: list[str], instruments: list[str], ohlcv: tuple[str, ...] = ("close",)) -> DataFrame:
     """One row for each pulse: ``{instrument}__ohlcv_{field}`` and ``{instrument}__feature_{id}``.
 
-    The instruments are given, so no extra pass looks for them."""
+    The instruments are given, so no extra pass looks for them. ``__`` divides the parts of a name and is
+    reserved: an instrument or feature with it raises."""
+    for name in (*instruments, *features):
+        if "__" in name:
+            raise InvalidConfig(f"{name}: __ is reserved")
     aggs = [F.first(c).alias(f"ohlcv_{c}") for c in ohlcv] + [F.first(f).alias(f"feature_{f}") for f in features]
     wide = panel.groupBy("ts_utc").pivot("instrument_id", instruments).agg(*aggs)
     single = len(aggs) == 1

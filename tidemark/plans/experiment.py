@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from typing import Any
@@ -67,6 +67,17 @@ class Run:
             return eq if what == "equity" else accounting.period_returns(eq)
         raise InvalidConfig(f"no result {what!r}")
 
+    def cursor(self, what: str = "fills", rows: int = 10_000) -> Iterator[list]:
+        """Rows of a result in lists of ``rows``, of which the driver holds one at a time."""
+        held = []
+        for r in self.results(what).toLocalIterator():
+            held.append(r)
+            if len(held) == rows:
+                yield held
+                held = []
+        if held:
+            yield held
+
     def metrics(self) -> DataFrame:
         return metrics.metrics(self.results("equity"), self.results("trades"), self.context)
 
