@@ -119,8 +119,14 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.cumsum(d[:, 0] | d[:, 1] << np.uint64(8) | d[:, 2] << np.uint64(16), dtype=np.uint64)
 
 
+def group_bits(documents: int) -> int:
+    """So many groups of prints that each is that of some thousand documents, from 256 to 2^18:
+    a group is merged in one task."""
+    return min(18, max(8, (documents >> 12).bit_length()))
+
+
 def shingle_counts(docs: DataFrame, k: int, groups_bits: int) -> DataFrame:
-    """(g, repeated, counts, sums): for each group of 40-bit shingle prints, the prints met
+    """(g, repeated, counts, sums): for each group of shingle prints (32 bits and those of the group), the prints met
     in two sets or more, in how many, and sums over all. All documents are counted."""
 
     def prints(batches):
@@ -157,13 +163,14 @@ def shingle_counts(docs: DataFrame, k: int, groups_bits: int) -> DataFrame:
     return materialise(got, "prints")
 
 
-def _filters(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def _filters(counts: DataFrame, groups_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """A bit filter of repeated prints, the most frequent prints with their counts, and the
-    mean length of a list. Tasks reduce before anything reaches the driver, and both
-    results have a fixed bound."""
+    mean length of a list. Each group has a stretch of the filter to itself, so what reaches the driver is
+    the filter, ``MOST_BITS`` at most, and the frequent prints, ``MOST_FREQUENT`` at most."""
     total = counts.agg(F.sum("repeated").alias("r"), F.sum("n").alias("n"), F.sum("n2").alias("n2")).first()
     repeated = total.r or 0
-    bits = min(MOST_BITS, max(1 << 16, 1 << int(8 * repeated).bit_length()))
+    bits = min(MOST_BITS, max(1 << max(16, groups_bits + 3), 1 << int(8 * repeated).bit_length()))
+    own = bits >> groups_bits  # bits of a group's stretch, eight or more
 
     def powers(batches):
         out = np.zeros(64, np.int64)
@@ -178,21 +185,18 @@ def _filters(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, flo
         least -= 1
         have += table.get(least, 0)
 
-    # Groups hold ranges of prints, so each sets bits of its own stretch of the filter.
     def stretch(batches):
         for b in batches:
             for g, v, c in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                 v, c = (np.uint64(g) << np.uint64(32)) | np.frombuffer(v, "<u4").astype(np.uint64), np.frombuffer(c, "<u4")
-                at = np.unique(_place(v, bits) >> np.uint64(3))
-                byte = np.zeros(len(at), np.uint8)
-                p = _place(v, bits)
-                np.bitwise_or.at(byte, np.searchsorted(at, p >> np.uint64(3)), np.left_shift(1, (p & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+                set_ = np.zeros(own, np.uint8)
+                set_[(_place(v, bits, groups_bits) & np.uint64(own - 1)).astype(np.int64)] = 1
                 top = np.frexp(c.astype(float))[1] >= least
-                yield pa.RecordBatch.from_pydict({"at": pa.array([at.astype("<u4").tobytes()], pa.binary()), "byte": pa.array([byte.tobytes()], pa.binary()), "prints": pa.array([v[top].tobytes()], pa.binary()), "counts": pa.array([c[top].tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"g": pa.array([g], pa.int32()), "bits": pa.array([np.packbits(set_, bitorder="little").tobytes()], pa.binary()), "prints": pa.array([v[top].tobytes()], pa.binary()), "counts": pa.array([c[top].tobytes()], pa.binary())})
 
     filter_, top, of = np.zeros(bits >> 3, np.uint8), [], []
-    for r in counts.select("g", "prints", "counts").mapInArrow(stretch, "at binary, byte binary, prints binary, counts binary").toLocalIterator():
-        filter_[np.frombuffer(r.at, "<u4")] |= np.frombuffer(r.byte, np.uint8)
+    for r in counts.select("g", "prints", "counts").mapInArrow(stretch, "g int, bits binary, prints binary, counts binary").toLocalIterator():
+        filter_[r.g * (own >> 3) : (r.g + 1) * (own >> 3)] = np.frombuffer(r.bits, np.uint8)
         top.append(np.frombuffer(r.prints, "<u8"))
         of.append(np.frombuffer(r.counts, "<u4"))
     top, of = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((top, np.uint64), (of, np.uint32)))
@@ -200,8 +204,10 @@ def _filters(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, flo
     return filter_, top[order], of[order], (total.n2 or 0) / max(total.n or 0, 1)
 
 
-def _place(prints: np.ndarray, bits: int) -> np.ndarray:
-    return _mix(prints) & np.uint64(bits - 1)
+def _place(prints: np.ndarray, bits: int, groups_bits: int) -> np.ndarray:
+    """The bit of each print: its group's stretch, and a place in it."""
+    own = np.uint64(bits >> groups_bits)
+    return (prints >> np.uint64(32)) * own + (_mix(prints) & (own - np.uint64(1)))
 
 
 def _sets(docs: DataFrame, k: int, percent: int, shared, groups_bits: int) -> DataFrame:
@@ -220,7 +226,7 @@ def _sets(docs: DataFrame, k: int, percent: int, shared, groups_bits: int) -> Da
                 if node and node not in seen:
                     seen.add(node)
                     v = s >> np.uint64(32 - groups_bits)
-                    p = _place(v, bits)
+                    p = _place(v, bits, groups_bits)
                     twice = (filter_[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
                     if 100 * int(twice.sum()) >= percent * len(s):
                         at = np.minimum(np.searchsorted(top, v), max(len(top) - 1, 0))
@@ -308,11 +314,11 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     With fewer than ``k`` words, the whole sequence is one shingle. Whole texts are read.
     """
     spark = docs.sparkSession
-    groups_bits = 8
+    groups_bits = group_bits(docs.count())
     text = F.col(f"`{text_col}`")
     r1, r2 = hash_pair(F.col(f"`{id_col}`"), text)
     base = docs.select(F.col(f"`{id_col}`").alias("d"), r1.alias("r1"), r2.alias("r2"), text.alias("text"))
-    filter_, top, of, mean_list = _filters(shingle_counts(base.select("text"), k, groups_bits))
+    filter_, top, of, mean_list = _filters(shingle_counts(base.select("text"), k, groups_bits), groups_bits)
     shared = spark.sparkContext.broadcast((filter_, top, of))
     rows = _sets(base, k, percent, shared, groups_bits)
     heads = rows.where("shingles is not null").select("node", "n", "shingles", "central")
