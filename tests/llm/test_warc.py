@@ -36,6 +36,17 @@ def test_round_trip(spark, sf_dir):
     assert got(spark, df.limit(0)) == []
 
 
+def test_ids_of_any_text(spark):
+    odd = [None, "null", "~", "%7E", "a b", "a+b", "x>y\r\nZ: 1", "é:3", ""]
+    rows = [(i, "u", f"page {k}") for k, i in enumerate(odd)] + [(None, f"v{k}", "") for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    back = warc.round_trip(df.repartition(3), warc.archive_folder(spark)).collect()
+    own = [r for r in back if r.payload_bytes]
+    assert sorted(str(r.page_id) for r in own) == sorted(map(str, odd)) and all(r.record_type == "response" for r in own)
+    empty = [r for r in back if not r.payload_bytes]
+    assert [r.page_id for r in empty] == [None] * 40 and sum(r.record_type == "response" for r in empty) == 1
+
+
 def test_reader_steps_and_faults():
     blocks = [b"", b"abc\r\n\r\n" * 50_000, b"x"]
     data = b"".join(warc.member("response", f"urn:page:{i}:0", "http://a/", b, warc.sha1_base32(b)) for i, b in enumerate(blocks))

@@ -12,6 +12,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -104,9 +105,11 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def record_id(page_id: object, place: int) -> str:
-    """``place`` tells rows with one page id apart."""
-    return f"urn:page:{'null' if page_id is None else page_id}:{place}"
+def record_id(page_id: object, payload_digest: str, place: int) -> str:
+    """The digest tells payloads under one page id apart, and ``place`` rows with one id and payload. The id is percent-encoded, so that any text is
+    one; a null id is a tilde, which an encoded id never is."""
+    said = "~" if page_id is None else quote(str(page_id), safe="").replace("~", "%7E")
+    return f"urn:page:{said}:{payload_digest}:{place}"
 
 
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 0) -> DataFrame:
@@ -115,7 +118,10 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     The payload is the html in UTF-8, null as empty. Of records with equal payloads of at
     least ``min_revisit`` bytes, that with the largest page id is the response and the others
     revisit it; of rows with that id and payload, the first by url. A null id is less than
-    any other. Equality is that of length, SHA-1 and SHA-256.
+    any other; an id may be any text. Equality is that of length, SHA-1 and SHA-256.
+
+    Rows equal in id and payload are numbered when they are written to the shared folder, not within
+    their group, so a group of any size, such as that of empty pages without id, is in many tasks.
 
     Each task writes one archive under a name of its own; only tasks that ended are in
     the manifest, which is a written table, so a task that was lost and ran again leaves
@@ -126,18 +132,18 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
     rows = settle(pages.select(id_.alias("id"), url.alias("url"), html.alias("html")), sha=F.sha1("html"), sha256=F.sha2("html", 256), size=F.octet_length("html").cast("long"))
     same = ["sha", "sha256", "size"]
-    # Rows of one id and payload are told apart by a place, counted within that small group.
     groups = rows.select("id", *same).groupBy("id", *same).agg(F.count(F.lit(1)).alias("n"))
     lead = materialise(groups.groupBy(*same).agg(F.max("id").alias("lead")), "warc-lead")
     repeated = materialise(groups.where("n > 1").select("id", *same), "warc-repeated")
-    plain = rows.withColumn("place", F.lit(0))
+    plain = rows.withColumn("place", F.lit(0).cast("long"))
     if not repeated.isEmpty():
-        from pyspark.sql import Window
-
         on = [rows["id"].eqNullSafe(repeated["id"]), *[rows[c] == repeated[c] for c in same]]
-        once = rows.join(repeated, on, "left_anti").withColumn("place", F.lit(0))
-        many = rows.join(repeated, on, "left_semi")
-        plain = once.unionByName(many.withColumn("place", F.row_number().over(Window.partitionBy("id", *same).orderBy("url")) - 1))
+        once = rows.join(repeated, on, "left_anti").withColumn("place", F.lit(0).cast("long"))
+        many = materialise(rows.join(repeated, on, "left_semi").withColumn("number", F.monotonically_increasing_id()), "warc-many")
+        first = materialise(many.groupBy("id", *same).agg(F.min(F.struct("url", "number")).alias("first")).select("id", *same, F.col("first.number").alias("first")), "warc-first")
+        placed = many.join(first.withColumnsRenamed({c: f"{c}_" for c in ("id", *same)}), [F.col("id").eqNullSafe(F.col("id_")), *[F.col(c) == F.col(f"{c}_") for c in same]])
+        place = F.when(F.col("number") == F.col("first"), 0).otherwise(F.col("number") + 1)
+        plain = once.unionByName(placed.withColumn("place", place.cast("long")).select(*once.columns))
     told = plain.join(lead, same)
     is_lead = F.col("id").eqNullSafe(F.col("lead")) & (F.col("place") == 0)
     told = told.withColumn("kind", F.when(is_lead | (F.col("size") < min_revisit), F.lit("response")).otherwise(F.lit("revisit")))
@@ -154,7 +160,8 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
                     system.create_dir(at.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(at, compression=None)
                 revisit = k == "revisit"
-                out.write(member(k, record_id(i, p), u, b"" if revisit else payload, sha1_base32(payload), record_id(lead, 0) if revisit else None))
+                digest = sha1_base32(payload)
+                out.write(member(k, record_id(i, digest, p), u, b"" if revisit else payload, digest, record_id(lead, digest, 0) if revisit else None))
                 n += 1
         if out is not None:
             out.close()
@@ -206,8 +213,9 @@ def round_trip(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_co
     """
     manifest = write_archives(pages, folder, id_col=id_col, url_col=url_col, html_col=html_col, min_revisit=min_revisit)
     back = materialise(read_archives(manifest).drop("block", "uri"), "warc-read")
-    number = lambda c: F.regexp_extract(c, r"^urn:page:(.*):\d+$", 1)
-    to_id = lambda c: F.when(number(c) != "null", number(c)).cast(pages.schema[id_col].dataType)
+    said = lambda c: F.regexp_extract(c, r"^urn:page:(.*):[A-Z2-7]{32}:\d+$", 1)
+    # In a form a plus is a space; here it was encoded, so there is none.
+    to_id = lambda c: F.when(said(c) != "~", F.url_decode(said(c))).cast(pages.schema[id_col].dataType)
     first = back.where("type = 'response'").select(F.col("record_id").alias("to"), F.col("block_bytes").alias("full"))
     revisits = back.where("type = 'revisit'").join(first, F.col("refers_to") == F.col("to"), "left")
     both = back.where("type = 'response'").withColumn("full", F.col("block_bytes")).select("record_id", "type", "refers_to", "payload_digest", "full")
