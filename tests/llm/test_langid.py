@@ -12,7 +12,38 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
-def test_pieces_score_like_whole_texts(monkeypatch):
+def test_training_and_scores_against_a_plain_form(spark, monkeypatch):
+    """Counts, priors and posterior of a naive Bayes written out n-gram by n-gram, on texts longer
+    than a piece."""
+    import numpy as np
+
+    monkeypatch.setattr(langid, "PIECE", 64)
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(rng.choice(list("aábc dE." if i % 3 else "xyz d-é"), int(rng.integers(1, 400)))), ["one", "two", "two"][i % 3]) for i in range(30)]
+    bits, smooth = 10, 0.5
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), bits=bits, smoothing=smooth)
+
+    def grams(text):
+        p = langid._points(f"  {text}  ").astype(np.uint32)
+        for n in range(1, 4):
+            for i in range(len(p) - n + 1):
+                if (p[i : i + n] != 32).any():
+                    own = np.concatenate([p[i : i + n], np.full(2, 32, np.uint32)])
+                    yield int({k: b for k, b, _ in langid._buckets(own, bits)}[n][0])
+
+    counts = {k: np.full(1 << bits, smooth) for k in ("one", "two")}
+    for _, t, lang in rows:
+        for g in grams(t):
+            counts[lang][g] += 1
+    table = np.stack([np.log(counts[k] / counts[k].sum()) for k in ("one", "two")], axis=1)
+    prior = np.log(np.array([11, 21]) / 32)
+    assert model.langs == ("one", "two") and np.allclose(model.table, table, atol=1e-5) and np.allclose(model.prior, prior)
+    for t, lang, score in zip([r[1] for r in rows], *model.predict([r[1] for r in rows]), strict=True):
+        s = prior + sum(model.table[g].astype(float) for g in grams(t)) if langid._points(t).max() > 32 else prior
+        assert lang == ("one", "two")[int(s.argmax())] and np.isclose(score, 1 / np.exp(s - s.max()).sum(), atol=1e-6)
+
+
+def test_pieces_score_like_whole_texts():
     import numpy as np
 
     rng = np.random.default_rng(1)
