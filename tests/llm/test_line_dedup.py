@@ -35,6 +35,14 @@ def test_odd_rows(spark):
     assert drop_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_text_that_loses_most_of_its_lines(spark):
+    shared = [f"line {i} of a passage that many documents hold in full" for i in range(3_000)]
+    rows = [(i, "\n".join(x for k, x in enumerate(shared) for x in ([x] if i < 5 else [x, f"own {k}"]))) for i in range(6)]
+    got = drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    had = sorted(((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in got), key=str)
+    assert had == brute(rows) and {r.doc_id: r.n_dropped for r in got} == {**dict.fromkeys(range(5), 3_000), 5: 0}
+
+
 def test_repeated_rows_are_one_document(spark):
     few, many = "A line that two documents hold, over forty code points.", "A line that five documents hold, over forty code points."
     rows = [(7, f"{few}\n{many}")] * 4 + [(3, f"{few}\n{many}"), (4, many), (5, many), (6, many), (None, few)]

@@ -57,7 +57,9 @@ def drop_repeated_lines(
     lost = lost.select(F.col("r1").alias(k1), F.col("r2").alias(k2), F.col("lost").alias(gone))
     out = docs.withColumns({k1: r1, k2: r2}).join(lost.hint("shuffle_hash"), [k1, k2], "left")
     parts = F.split(text, "\n")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
+    # One pass over the positions, however many are lost: a set difference, not a search for each line.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
     return out.select(
         *[
             F.when(F.col(gone).isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`")
