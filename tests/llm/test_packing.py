@@ -4,9 +4,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm.packing import Plan, pack_documents
+from tidemark.llm.packing import ChunkEncoder, Plan, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [(1, None), (2, ""), (3, "  \n\t"), (4, "It's a Test, é  x\x1cy <|endoftext|> 12!"), (5, "word " * 9000), (5, "word " * 9000), (None, "ça va ß İ"), (8, "日本語 " * 700), (9, "Ünd, A<|ENDOFTEXT|> <|endoftext|>, É. E\u0301, don't', »., a=\u0338 b")]
@@ -39,6 +41,20 @@ def test_plan_places_every_rank():
         assert n <= 1.15 * -(-sum(k * m for k, m in counts.items()) // top) + sum(m for k, m in counts.items() if k > top // 2) * 0.6 + 6
 
 
+def test_another_kind_of_tokenizer_is_refused():
+    with pytest.raises(ValueError, match="word by word"):
+        ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_words_by_ranks_are_the_librarys(sf_dir):
+    """Each distinct word of the documents, and each piece of the vocabulary."""
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])
+    words = sorted({w for t in table["text"].to_pylist() for w in (t or "").split()} | {k.removesuffix("</w>") for k in Tokenizer.from_file(PATH).get_vocab()})
+    tok, own = Tokenizer.from_file(PATH), ChunkEncoder(PATH)
+    want = [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+    assert [np.frombuffer(own.ids(w), "<u4").tolist() for w in words] == want
+
+
 def expected(rows):
     tok, out = Tokenizer.from_file(PATH), []
     for i, t in rows:

@@ -14,11 +14,11 @@ import json
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from functools import cache
 from itertools import combinations_with_replacement
-from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -62,18 +62,21 @@ class ChunkEncoder(dict):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.special = [x.content.encode().lower() for x in self.tok.get_added_tokens_decoder().values()]
+        special = [x.content.encode() for x in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special)) or b"(?!)").search
+        self.lowered = [x.lower() for x in special]
         self.one = piece_encoder(path)
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if self.one and _PLAIN.fullmatch(text) and not any(x in word.lower() for x in self.special):
+        if self.one and word.isalpha():  # ASCII letters: one piece
+            ids = self.one(word.lower())
+        elif self.one and _PLAIN.fullmatch(text := word.decode()) and not self.special(word):
             ids = [i for piece in _SPLIT.findall(text.lower()) for i in self.one(piece.encode())]
         else:
-            ids = self.tok.encode(text, add_special_tokens=False).ids
+            ids = self.tok.encode(word.decode(), add_special_tokens=False).ids
         if len(self) >= REMEMBERED:
             self.clear()
-        got = self[word] = pack_ids(f"<{len(ids)}I", *ids)
+        got = self[word] = array("I", ids).tobytes()
         return got
 
     def ids(self, text: str | None) -> bytes:
@@ -81,7 +84,7 @@ class ChunkEncoder(dict):
         raw = (text or "").encode("utf-8", "replace")
         low = raw.lower()
         # A special token's own text must reach the tokenizer as it is.
-        words = raw.split() if any(x in low for x in self.special) else low.split()
+        words = raw.split() if any(x in low for x in self.lowered) else low.split()
         return b"".join(map(self.__getitem__, words))
 
 

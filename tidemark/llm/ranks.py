@@ -50,5 +50,5 @@ def piece_encoder(path: str) -> Callable[[bytes], list[int]] | None:
     ranks = piece_bytes(path)
     if suffix:
         ranks[END] = len(vocab)
-    one = tiktoken.Encoding("file", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    one = tiktoken.Encoding("file", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
     return (lambda piece: one(piece + END)) if suffix else one
